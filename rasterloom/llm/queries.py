@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import splits
+from rasterloom.llm import draw, splits, stable
 from rasterloom.session import cut, table
 
 
@@ -26,4 +26,31 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(_p1_assigned(spark, d), table(spark, d, "split_plan"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report)}
+
+def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return draw.cube_draw(table(spark, d, "cbis_samples"), table(spark, d, "inbreast_rois"), table(spark, d, "draw_targets"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return draw.unmet(_p2(spark, d)[1])
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)[1]
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)[0].select("draw_id", "row_id")
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    return stable.stable_sample(table(spark, d, "cbis_samples"))
+
+
+def p4_growth(spark: SparkSession, d: str) -> DataFrame:
+    """Per release: cases known by then and how many of them are chosen."""
+    s = stable.sequence_numbers(table(spark, d, "cbis_samples"))
+    return s.groupBy("first_release").agg(F.count("*").alias("n_cases"), F.count_if(stable.chosen(F.col("seq"), "rasterloom")).alias("n_chosen"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p2_sample, p4_sample, p4_growth)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import draw, splits, stable
+from rasterloom.llm import draw, encode, overlap, splits, stable
 from rasterloom.session import cut, table
 
 
@@ -53,4 +53,25 @@ def p4_growth(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("first_release").agg(F.count("*").alias("n_cases"), F.count_if(stable.chosen(F.col("seq"), "rasterloom")).alias("n_chosen"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p2_sample, p4_sample, p4_growth)}
+def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    films = overlap.films_with_split(table(spark, d, "cbis_samples"))
+    return films, overlap.cross_split_pairs(films)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found_pairs(_p5(spark, d)[1])
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    films, pairs = _p5(spark, d)
+    return overlap.overlap_report(films, cut(pairs))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_texts(table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p2_sample, p4_sample, p4_growth, p5_found, p5_report, p6_ids)
+}

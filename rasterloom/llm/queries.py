@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import draw, encode, overlap, splits, stable
+from rasterloom.llm import draw, encode, leak, overlap, residue, splits, stable
 from rasterloom.session import cut, table
 
 
@@ -71,7 +71,40 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p2_sample, p4_sample, p4_growth, p5_found, p5_report, p6_ids)
-}
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaked(_p7(spark, d))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leak_report(_p7(spark, d), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by kind of evidence and source."""
+    docs = table(spark, d, "documents")
+    return residue.residue(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "kind").agg(F.count("*").alias("n_docs"))
+
+
+def p8_boilerplate(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that recur within a host, with their documents."""
+    return residue.line_counts(table(spark, d, "documents")).where(F.col("n_docs") >= residue.BOILERPLATE_DOCS)
+
+
+_ALL = (
+    p1_found, p1_splits, p1_report,
+    p2_found, p2_report, p2_sample,
+    p4_sample, p4_growth,
+    p5_found, p5_report,
+    p6_ids,
+    p7_found, p7_report,
+    p8_found, p8_report, p8_boilerplate,
+)
+QUERIES = {f.__name__: f for f in _ALL}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rasterloom.plans import nested_queries
+from rasterloom.plans import nested_queries, raster_queries
 
-_MODULES = (nested_queries,)
+_MODULES = (nested_queries, raster_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -355,9 +355,9 @@ def patch_reconstruct(spark, d):
 
 @query("sliding_patches", f"""WITH {PX}, big AS (SELECT image_id // 16 AS image_id, (image_id % 16) // 4 * 8 + r AS r, image_id % 4 * 8 + c AS c, v FROM px),
  full_ AS (SELECT image_id FROM big GROUP BY image_id HAVING count(*) = 1024),
- at AS (SELECT unnest(range(0, 32, 8)) AS x)
+ offs AS (SELECT unnest(range(0, 32, 8)) AS x)
  SELECT b.image_id, CAST(y.x AS INTEGER) AS row_off, CAST(x.x AS INTEGER) AS col_off, sum(v) AS pixel_sum, (y.x + 16 > 32 OR x.x + 16 > 32) AS is_padded
- FROM big b JOIN full_ USING (image_id) CROSS JOIN at y CROSS JOIN at x WHERE r >= y.x AND r < y.x + 16 AND c >= x.x AND c < x.x + 16 GROUP BY ALL""")
+ FROM big b JOIN full_ USING (image_id) CROSS JOIN offs y CROSS JOIN offs x WHERE r >= y.x AND r < y.x + 16 AND c >= x.x AND c < x.x + 16 GROUP BY ALL""")
 def sliding_patches(spark, d):
     """16 x 16 patches at every 8th row and column of 32 x 32 mosaics; those beyond the edge are zero-padded."""
     m = mosaic(images(spark, d), 4)

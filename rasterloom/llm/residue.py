@@ -54,7 +54,7 @@ FILLER_ANYWHERE = (
     r"(?:type|enter|write|add|put|insert)\s+(?:your|some|the)?\s*(?:text|answer|question|content|copy|title|something)\s+here\b",
     r"this\s+is\s+(?:a\s+)?(?:placeholder|dummy|sample|filler)\s+(?:copy|text|content)\b",
     # keyboard rows
-    r"(?:asdf|qwer|qwert[zy]|zxcv|yxcv|hjkl|jklö|uiop|sdfg|fghj){2}",
+    r"(?:(?:asdf|qwer|qwert[zy]|zxcv|yxcv|hjkl|jklö|uiop|sdfg|fghj)\s?){2}",
     r"(?:qwert[zy]uiop|azertyuiop|asdfghjk|qsdfghjk|zxcvbnm|yxcvbnm)",
 )
 FILLER_AT_START = (

@@ -27,6 +27,24 @@ _START = r"(?:^|(?<=[.!?>:~]\s{0,3})|(?<=\s\s))"
 _SCRIPT = r"(?:java\s?scripts?|js|scripts?|scripting)"
 _ENABLE = r"(?:enable|activate|allow|turn\s+on|switch\s+on)"
 
+# The letter rows of common keyboards.
+_ROWS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "qsdfghjklm", "zxcvbnm", "yxcvbnm")
+
+
+def _row_runs() -> str:
+    """Three or more neighbouring keys of a row, with at most one stray letter behind them."""
+    out = set()
+    for row in _ROWS:
+        for i in range(len(row) - 2):
+            tail = ""
+            for letter in reversed(row[i + 3 :]):
+                tail = f"(?:{letter}{tail})?"
+            out.add(row[i : i + 3] + tail)
+    return "(?:" + "|".join(sorted(out)) + r")\p{L}?"
+
+
+_KEYS = _row_runs() + r"(?!\p{L})"
+
 #: Unfilled placeholders; each begins with one of the signs in SIGNS.
 SIGNS = r"[{$#<\[&_%@]"
 PLACEHOLDER = (
@@ -56,6 +74,7 @@ FILLER_ANYWHERE = (
     # keyboard rows
     r"(?:(?:asdf|qwer|qwert[zy]|zxcv|yxcv|hjkl|jklö|uiop|sdfg|fghj)\s?){2}",
     r"(?:qwert[zy]uiop|azertyuiop|asdfghjk|qsdfghjk|zxcvbnm|yxcvbnm)",
+    _KEYS + r"(?:[\s,.;!\-]+" + _KEYS + "){2}",
 )
 FILLER_AT_START = (
     r"(?:default|sample|dummy|example|placeholder)\s+(?:body|text|copy|content)\b.{0,20}\b(?:edit|replace|goes|change|remove)\b",
@@ -64,7 +83,7 @@ FILLER_AT_START = (
 )
 #: A word, or two in turn, again and again; no step of it backtracks.
 REPEATED = (
-    r"(\p{L}{2,16}+)[\s,.;!\-]++\1(?:[\s,.;!\-]++\1){4}(?!\p{L})",
+    r"(\p{L}{2,16}+)[\s,.;!\-]++\1(?:[\s,.;!\-]++\1){3}(?!\p{L})",
     r"(\p{L}{2,16}+\s++\p{L}{2,16}+)\s++\2(?:\s++\2){2}(?!\p{L})",
 )
 ERROR_ANYWHERE = (

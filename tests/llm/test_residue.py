@@ -8,7 +8,7 @@ from tests.conftest import rows
 CASES = [
     "Hello {{ user.name }},", "Posted in {% block x %}{% endblock %}", "Dear ${author}, hi", "#{title}", "Score: [[score]]", "[INSERT name HERE]", "[your title goes here]",
     "<YOUR_name>", "<%= body %>", "&lt;author&gt; asked", "___name___", "%%title%%", "@@author@@", "%(score)s votes", "$vote_count$", "{author}",
-    "Lorem ipsum dolor sit amet.", "Your text goes here.", "bla bla bla bla bla bla bla", "foo bar foo bar foo bar foo bar foo bar", "asdf asdf asdf", "qwertyuiop", "Beispieltext, bitte ersetzen.", "Texto de ejemplo, sustituir antes.",
+    "Lorem ipsum dolor sit amet.", "Your text goes here.", "bla bla bla bla bla", "foo bar foo bar foo bar foo bar foo bar", "asdf asdf asdf", "qwertyuiop", "jkl; jklk qwe; dfghk", "Beispieltext, bitte ersetzen.", "Texto de ejemplo, sustituir antes.",
     "404 - the page you asked for could not be delivered.", "Error 503. Try later", "Access denied.", "Interner Fehler beim Laden", "Page not found.", "Fatal error: undefined function", "La page demandée est introuvable (erreur 404).", "<h1>Internal server error</h1>",
     "Please enable JavaScript to view this.", "<noscript>JS is required</noscript>", "This forum needs scripting.", "Loading...", "Veuillez activer JavaScript pour afficher.", "If nothing happens, allow JS.",
     "Good answer here.\n\nThanks.\nYour session has expired. Log in again", "A lone \" mark, then\n\nAccess denied.",
@@ -16,7 +16,7 @@ CASES = [
 OTHERS = [
     None, "", "   ", "!!! ???", "1234567890", "Yes.", "Same here.", "I get a 404 for 7 of my files.", "Does anyone know a way to load the page without JavaScript?",
     'The designer left "lorem ipsum" in the mock-up.', "The form `{{ name }}` is fine.", "```\n${author}\nAccess denied.\n```", "    {{ author }}", "Our viewer prints \"Page not found. Back\nto the start.\" today.",
-    "„Bitte aktivieren Sie JavaScript“ steht da.", "The server returned a 503 while I tried.", "np.zeros((3, 3)) and [1, 2] and {1: 2}", "See [notes](http://a.example) and a_b__c", "no no no, that is wrong", "<pre>%%x%%</pre>", "costs $5 and $6", "I had it very very late",
+    "„Bitte aktivieren Sie JavaScript“ steht da.", "The server returned a 503 while I tried.", "np.zeros((3, 3)) and [1, 2] and {1: 2}", "See [notes](http://a.example) and a_b__c", "no no no, that is wrong", "<pre>%%x%%</pre>", "costs $5 and $6", "I had it very very late", "We were there, were they?",
 ]
 
 

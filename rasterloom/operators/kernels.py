@@ -310,9 +310,30 @@ def gabor_bank(scales: int, orientations: int) -> list[np.ndarray]:
     return out
 
 
+#: Images of at most so many pixels are correlated by one dense matrix product.
+DENSE_PIXELS = 1024
+
+
+def _correlate_large(x: np.ndarray, kernels: list[np.ndarray]) -> np.ndarray:
+    """Replicate-border correlation with kernels of one size, by FFT: the cost does not depend on their size."""
+    k = kernels[0].shape[0]
+    p = padded(x, k // 2, k // 2, "replicate")
+    shape = p.shape[1:]
+    f = np.fft.rfft2(p)
+    out = [np.fft.irfft2(f * np.conj(np.fft.rfft2(w, shape)), shape)[:, : x.shape[1], : x.shape[2]] for w in kernels]
+    return np.stack(out)
+
+
 def gabor_responses(x: np.ndarray, bank: list[np.ndarray]) -> np.ndarray:
     """(kernels, images, rows, columns) absolute responses."""
-    return np.stack([np.abs(correlate(x, k, "replicate")) for k in bank])
+    h, w = x.shape[1:]
+    if h * w <= DENSE_PIXELS:
+        units = np.eye(h * w).reshape(-1, h, w)
+        operators = np.stack([correlate(units, k, "replicate").reshape(h * w, -1) for k in bank])
+        return np.abs(np.matmul(x.reshape(1, len(x), -1), operators)).reshape(len(bank), len(x), h, w)
+    sizes = sorted({k.shape[0] for k in bank})
+    parts = {s: iter(_correlate_large(x, [k for k in bank if k.shape[0] == s])) for s in sizes}
+    return np.abs(np.stack([next(parts[k.shape[0]]) for k in bank]))
 
 
 def _levels(v: np.ndarray) -> np.ndarray:

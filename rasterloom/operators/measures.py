@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators import kernels as K
-from rasterloom.operators.raster import describe_images, map_pairs
+from rasterloom.operators.raster import describe_images, map_pairs, spread
 
 
 def otsu_thresholds(images: DataFrame) -> DataFrame:
@@ -184,10 +184,14 @@ def gabor_information(pairs: DataFrame, scales: int, orientations: int) -> DataF
 
 
 def grail_windows(images: DataFrame, scales: int = 3, orientations: int = 6, delta: int = 300, rounds: int = 3) -> DataFrame:
-    """Window of every image that keeps most texture information: image_id, a, b."""
+    """Window of every image that keeps most texture information: image_id, a, b.
+
+    A search costs over a thousand convolutions an image, so the rows are first
+    spread over all cores.
+    """
 
     def run(ids, x):
         a, b = K.grail_bounds(x, scales, orientations, delta, rounds)
         return {"image_id": ids, "a": a, "b": b}
 
-    return describe_images(images, run, "image_id bigint, a double, b double")
+    return describe_images(spread(images), run, "image_id bigint, a double, b double")

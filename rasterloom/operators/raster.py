@@ -93,9 +93,8 @@ def map_images(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) ->
         for b in batches:
             for ids, x, _ in stacks(b):
                 y = np.ascontiguousarray(kernel(x), dtype=float)
-                n, h, w = y.shape
-                pixels = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (h * w), pa.int32()), pa.array(y.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(n, h, np.int32)), pa.array(np.full(n, w, np.int32)), pixels], names=["image_id", "h", "w", "pixels"])
+                size = [pa.array(np.full(len(y), v, np.int32)) for v in y.shape[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *size, _listed(y)], names=["image_id", "h", "w", "pixels"])
 
     return whole(images).mapInArrow(run, IMAGE_DDL)
 
@@ -124,64 +123,64 @@ def map_pairs(pairs: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[
     return pairs.where((F.size("pixels") == F.size("other")) & (F.size("pixels") == F.col("h") * F.col("w"))).select("image_id", "h", "w", "pixels", "other").mapInArrow(run, ddl)
 
 
+def spread(images: DataFrame) -> DataFrame:
+    """Images dealt evenly to all cores, for kernels that cost far more than moving the rows."""
+    return images.repartition(images.sparkSession.sparkContext.defaultParallelism, "image_id")
+
+
+def _tiles_of(x: np.ndarray, tile: int, halo: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row offset, column offset, stack of tiles) of a stack of images; the edge is repeated beyond the image."""
+    h, w = x.shape[1:]
+    p = np.pad(x, ((0, 0), (halo, halo), (halo, halo)), mode="edge")
+    for r in range(0, h, tile):
+        for c in range(0, w, tile):
+            yield r, c, p[:, r : min(r + tile, h) + 2 * halo, c : min(c + tile, w) + 2 * halo]
+
+
+def _listed(y: np.ndarray) -> pa.Array:
+    n, size = len(y), int(np.prod(y.shape[1:]))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(np.ascontiguousarray(y, dtype=float).ravel()))
+
+
 def tiled(images: DataFrame, tile: int, halo: int) -> DataFrame:
     """Tiles of tile x tile pixels with halo pixels of their neighbours around them.
 
     Beyond the image the halo repeats the edge, so stencils with the replicate
     rule and a radius of at most halo give on tiles what they give on the whole.
-    Returns image_id, row_idx, col_idx, row_off, col_off, h, w (of the tile with
-    its halo) and pixels.
+    Returns image_id, row_idx, col_idx, row_off, col_off, image_h, image_w, h, w
+    (of the tile with its halo) and pixels. Images are cut where they lie.
     """
-    n_r, n_c = F.ceil(F.col("h") / tile).cast("int"), F.ceil(F.col("w") / tile).cast("int")
-    at = (
-        whole(images)
-        .withColumn("row_idx", F.explode(F.sequence(F.lit(0), n_r - 1)))
-        .withColumn("col_idx", F.explode(F.sequence(F.lit(0), n_c - 1)))
-        .withColumn("row_off", F.col("row_idx") * tile)
-        .withColumn("col_off", F.col("col_idx") * tile)
-        .withColumn("th", F.least(F.lit(tile), F.col("h") - F.col("row_off")))
-        .withColumn("tw", F.least(F.lit(tile), F.col("w") - F.col("col_off")))
-    )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n in range(b.num_rows):
-                ids, x, _ = next(stacks(b.slice(n, 1)))
-                row, col, th, tw = (b.column(k)[n].as_py() for k in ("row_off", "col_off", "th", "tw"))
-                r = np.clip(np.arange(row - halo, row + th + halo), 0, x.shape[1] - 1)
-                c = np.clip(np.arange(col - halo, col + tw + halo), 0, x.shape[2] - 1)
-                part = x[0][np.ix_(r, c)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "image_id": ids, "row_idx": [row // tile], "col_idx": [col // tile], "row_off": [row], "col_off": [col], "image_h": [x.shape[1]], "image_w": [x.shape[2]],
-                        "h": [part.shape[0]], "w": [part.shape[1]], "pixels": [part.ravel()],
-                    },
-                    schema=_TILE_SCHEMA,
-                )
-
-    # the offsets travel with the image; its pixels are cut where the row lies
+            for ids, x, _ in stacks(b):
+                for r, c, y in _tiles_of(x, tile, halo):
+                    same = lambda v, n=len(ids): pa.array(np.full(n, v, np.int32))
+                    cols = [pa.array(ids), *[same(v) for v in (r // tile, c // tile, r, c, *x.shape[1:], *y.shape[1:])], _listed(y)]
+                    yield pa.RecordBatch.from_arrays(cols, schema=_TILE_SCHEMA)
+
     ddl = "image_id bigint, row_idx int, col_idx int, row_off int, col_off int, image_h int, image_w int, h int, w int, pixels array<double>"
-    return at.select("image_id", "h", "w", "pixels", "row_off", "col_off", "th", "tw").mapInArrow(run, ddl)
+    return whole(images).mapInArrow(run, ddl)
 
 
-def map_tiles(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], tile: int, halo: int) -> DataFrame:
+def map_tiles(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], tile: int, halo: int, apart: bool = False) -> DataFrame:
     """A replicate-border kernel of radius <= halo over tiles: image_id, row_off, col_off, h, w, pixels without the halo.
 
-    The tiles of one image may be computed by different executors.
+    With ``apart`` the tiles of one image are dealt to different tasks, which
+    pays for images so large that one task should not compute them alone.
     """
-    tiles = tiled(images, tile, halo).withColumn("part", F.struct("image_id", "row_off", "col_off"))
+    tiles = tiled(images, tile, halo)
+    if apart:
+        tiles = tiles.repartition(images.sparkSession.sparkContext.defaultParallelism, "image_id", "row_off", "col_off")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, x, rows in stacks(b):
                 y = kernel(x)
-                y = np.ascontiguousarray(y[:, halo : y.shape[1] - halo, halo : y.shape[2] - halo])
-                n, h, w = y.shape
-                pixels = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (h * w), pa.int32()), pa.array(y.ravel()))
+                y = y[:, halo : y.shape[1] - halo, halo : y.shape[2] - halo]
                 pick = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), b.column("row_off").take(pick), b.column("col_off").take(pick), pa.array(np.full(n, h, np.int32)), pa.array(np.full(n, w, np.int32)), pixels],
-                    names=["image_id", "row_off", "col_off", "h", "w", "pixels"],
-                )
+                size = [pa.array(np.full(len(y), v, np.int32)) for v in y.shape[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), b.column("row_off").take(pick), b.column("col_off").take(pick), *size, _listed(y)], names=["image_id", "row_off", "col_off", "h", "w", "pixels"])
 
     return tiles.select("image_id", "row_off", "col_off", "h", "w", "pixels").mapInArrow(run, "image_id bigint, row_off int, col_off int, h int, w int, pixels array<double>")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the folder names of the public CBIS-DDSM collection.
-CASE_PATTERN = r"^((?:Calc|Mass)-(?:Test|Training))_(P_\d+)_(LEFT|RIGHT)_(CC|MLO)(?:_(\d+))?$"
+CASE_PATTERN = r"^((?:Calc|Mass)-(?:Test|Training)_P_\d+_(?:LEFT|RIGHT)_(?:CC|MLO))(?:_(\d+))?$"
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -34,23 +34,17 @@ def has_suffix(path: Column, suffix: str) -> Column:
     return F.lower(path).endswith(suffix)
 
 
-def _last_per_id(files: DataFrame, name: str) -> DataFrame:
-    """One path per leading id: the last in order of paths."""
-    return files.select(numeric_id(base_name(F.col("path"))).alias("id"), "path").where("id is not null").groupBy("id").agg(F.max("path").alias(name))
-
-
 def pair_by_id(files: DataFrame) -> DataFrame:
     """case_id, dicom_path, xml_path, roi_path, mask_path: every .dcm with an id, left-joined to the others by id.
 
     Images without leading digits are dropped; of repeated annotations of one
     id the last counts. Null paths are ignored; suffixes are case-insensitive.
+    All kinds of annotation are gathered in one aggregate, so there is one join.
     """
-    p = files.where("path is not null").select("path")
-    dicom = p.where(has_suffix(F.col("path"), ".dcm")).select(numeric_id(base_name(F.col("path"))).alias("id"), F.col("path").alias("dicom_path")).where("id is not null")
-    out = dicom
-    for suffix, name in ((".xml", "xml_path"), (".roi", "roi_path"), (".tif", "mask_path")):
-        out = out.join(_last_per_id(p.where(has_suffix(F.col("path"), suffix)), name), "id", "left")
-    return out.withColumnRenamed("id", "case_id")
+    p = files.where("path is not null").select(numeric_id(base_name(F.col("path"))).alias("case_id"), "path", F.lower(F.right("path", F.lit(4))).alias("kind")).where("case_id is not null")
+    last = lambda suffix, name: F.max(F.when(F.col("kind") == suffix, F.col("path"))).alias(name)
+    right = p.where(F.col("kind").isin(".xml", ".roi", ".tif")).groupBy("case_id").agg(last(".xml", "xml_path"), last(".roi", "roi_path"), last(".tif", "mask_path"))
+    return p.where("kind = '.dcm'").select("case_id", F.col("path").alias("dicom_path")).join(right, "case_id", "left")
 
 
 def mask_source(pairs: DataFrame) -> DataFrame:
@@ -58,9 +52,11 @@ def mask_source(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("mask_source", F.when(F.col("mask_path").isNotNull(), "tif").when(F.col("xml_path").isNotNull(), "xml").otherwise("none"))
 
 
-def folder_parts(folder: Column) -> dict[str, Column]:
-    part = lambda i: F.regexp_extract(folder, CASE_PATTERN, i)
-    return {"task": part(1), "patient_id": part(2), "side": part(3), "view": part(4), "roi_no": F.when(part(5) != "", part(5).cast("int"))}
+def case_parts(case_id: Column) -> dict[str, Column]:
+    """task, patient_id, side and view of a well-formed case id."""
+    p = F.split(case_id, "_")
+    at = lambda i: F.get(p, F.lit(i))
+    return {"task": at(0), "patient_id": F.concat(F.lit("P_"), at(2)), "side": at(3), "view": at(4)}
 
 
 def pair_case_folders(files: DataFrame) -> DataFrame:
@@ -73,12 +69,15 @@ def pair_case_folders(files: DataFrame) -> DataFrame:
     sorted by folder; mammograms without a file and ROIs without a mammogram
     are dropped.
     """
-    f = files.where("folder is not null and path is not null").select("folder", F.lower(F.coalesce("series", F.lit(""))).alias("series"), "path", *[c.alias(n) for n, c in folder_parts(F.col("folder")).items()])
-    f = f.where((F.col("task") != "") & has_suffix(F.col("path"), ".dcm")).withColumn("case_id", F.concat_ws("_", "task", "patient_id", "side", "view"))
-    film = f.where("roi_no is null").groupBy("case_id", "task", "patient_id", "side", "view").agg(F.min("path").alias("dicom_path"))
+    f = files.where("folder is not null and path is not null").where(has_suffix(F.col("path"), ".dcm"))
+    f = f.select(
+        "folder", F.lower(F.coalesce("series", F.lit(""))).alias("series"), "path",
+        F.regexp_extract("folder", CASE_PATTERN, 1).alias("case_id"), F.col("folder").rlike(r"_\d+$").alias("is_roi"),
+    ).where("case_id <> ''")
+    film = f.where("not is_roi").groupBy("case_id").agg(F.min("path").alias("dicom_path"))
     cropped, masks = F.col("series").contains("cropped images"), F.col("series").contains("roi mask images")
     roi = (
-        f.where("roi_no is not null")
+        f.where("is_roi")
         .groupBy("case_id", "folder")
         .agg(F.min(F.when(cropped, F.col("path"))).alias("crop"), F.array_sort(F.collect_list(F.when(masks, F.col("path")))).alias("m"))
         .withColumn("two", F.col("crop").isNull() & (F.size("m") >= 2))
@@ -86,7 +85,7 @@ def pair_case_folders(files: DataFrame) -> DataFrame:
     )
     entries = roi.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("folder", "roi_path", "mask_path"))).alias("e"))
     return film.join(entries, "case_id", "left").select(
-        "case_id", "task", "patient_id", "side", "view", "dicom_path",
+        "case_id", *[c.alias(n) for n, c in case_parts(F.col("case_id")).items()], "dicom_path",
         F.coalesce(F.transform("e", lambda x: F.struct(x["roi_path"].alias("roi_path"), x["mask_path"].alias("mask_path"))), F.array().cast("array<struct<roi_path:string,mask_path:string>>")).alias("roi_entries"),
     )
 

@@ -178,3 +178,11 @@ def test_sbrg_is_binary():
 def test_sobel_of_a_ramp():
     x = np.tile(np.arange(6.0), (5, 1))[None]
     assert np.allclose(K.sobel(x)[0, :, 1:-1], 1 / np.sqrt(2))
+
+
+def test_large_images_take_the_fft_path():
+    x = RNG.random((2, 40, 37)) * 4095
+    bank = K.gabor_bank(2, 2)
+    want = np.stack([np.abs(K.correlate(x, k, "replicate")) for k in bank])
+    assert 40 * 37 > K.DENSE_PIXELS and np.allclose(K.gabor_responses(x, bank), want)
+    assert np.allclose(K.gabor_responses(IMG, bank), np.stack([np.abs(K.correlate(IMG, k, "replicate")) for k in bank]))

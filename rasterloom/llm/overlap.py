@@ -25,12 +25,12 @@ MAX_DIFFERENCE = 30
 #: Width of a grey-level bin and the number of evenly shifted bin grids.
 BIN, GRIDS = 512, 8
 LEVELS = 4096 // BIN + 2
-#: 40 bands of 5 minima. A shingle is (grid, pixel, bin). Over the grids a pixel
+#: 32 bands of 5 minima. A shingle is (grid, pixel, bin). Over the grids a pixel
 #: that moved by |d| changes at most |d| / BIN + 1 / GRIDS of its shingles, so
 #: thumbnails within MAX_DIFFERENCE keep at least 1 - 30/512 - 1/8 = 0.816 of
 #: theirs, a Jaccard similarity of 0.69 or more: no confirmed pair is below
-#: MIN_JACCARD. Typical near copies reach 0.89, missed with odds under 1e-14.
-BANDS, ROWS = 40, 5
+#: MIN_JACCARD. Typical near copies reach 0.89, missed with odds under 1e-11.
+BANDS, ROWS = 32, 5
 MIN_JACCARD = 0.68
 
 
@@ -49,7 +49,7 @@ def _table(seed: int = 11) -> np.ndarray:
 
 
 def band_keys(thumbs: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band and row."""
+    """One 64-bit key per row and band, the band's number mixed in."""
     out = np.empty((len(thumbs), BANDS), np.int64)
     for a in range(0, len(thumbs), 64):
         s = _shingles(thumbs[a : a + 64])
@@ -57,7 +57,7 @@ def band_keys(thumbs: np.ndarray, table: np.ndarray) -> np.ndarray:
         for j in range(1, s.shape[1]):
             np.minimum(minima, table[s[:, j]], out=minima)
         m = minima.reshape(len(s), BANDS, ROWS).astype(np.uint64)
-        key = np.zeros((len(s), BANDS), np.uint64)
+        key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(s), 1))
         for r in range(ROWS):
             key = (key ^ m[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
@@ -70,15 +70,12 @@ def _band_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         if len(f):
             keys = band_keys(np.stack(f["thumb"].to_numpy()).astype(np.int64), table)
-            yield pd.DataFrame(
-                {
-                    "band": np.tile(np.arange(BANDS, dtype=np.int32), len(f)),
-                    "bucket": keys.reshape(-1),
-                    "thumb_no": np.repeat(f["thumb_no"].to_numpy(), BANDS),
-                    "in_test": np.repeat(f["in_test"].to_numpy(), BANDS),
-                    "in_train": np.repeat(f["in_train"].to_numpy(), BANDS),
-                }
-            )
+            yield pd.DataFrame({"bucket": keys.reshape(-1), "thumb_no": np.repeat(f["thumb_no"].to_numpy(), BANDS)})
+
+
+def _buckets(classes: DataFrame, name: str) -> DataFrame:
+    b = classes.select("thumb", "thumb_no").mapInPandas(_band_frames, "bucket bigint, thumb_no bigint")
+    return b.withColumnRenamed("thumb_no", name)
 
 
 def _grid_hits(a: Column, b: Column) -> Column:
@@ -129,17 +126,11 @@ def near_thumbs(films: DataFrame) -> tuple[DataFrame, DataFrame]:
         ).select("h", "thumb", "thumb_no", "in_test", (~F.col("all_test")).alias("in_train"))
     )
     members = with_thumb.join(classes.select("h", "thumb", "thumb_no"), ["h", "thumb"]).select("sample_id", "is_test", "thumb_no")
-    bands = cut(
-        classes.select("thumb_no", "thumb", "in_test", "in_train").mapInPandas(
-            _band_frames, "band int, bucket bigint, thumb_no bigint, in_test boolean, in_train boolean"
-        )
-    )
-    # only buckets that hold both splits can give a pair
-    both = bands.groupBy("band", "bucket").agg(F.max("in_test").alias("t"), F.max("in_train").alias("r"), F.count("*").alias("n")).where("t and r and n > 1")
-    live = bands.join(both.select("band", "bucket"), ["band", "bucket"])
+    # the buckets of the two splits meet in the join, so only cross-split candidates ever exist;
+    # each side is shuffled once, and a hot bucket is split by AQE
     candidates = (
-        live.where("in_test").select("band", "bucket", F.col("thumb_no").alias("test_no"))
-        .join(live.where("in_train").select("band", "bucket", F.col("thumb_no").alias("train_no")), ["band", "bucket"])
+        _buckets(classes.where("in_test"), "test_no")
+        .join(_buckets(classes.where("in_train"), "train_no"), "bucket")
         .where("test_no <> train_no")
         .select("test_no", "train_no")
         .distinct()

@@ -71,7 +71,7 @@ def record_groups(records: DataFrame) -> DataFrame:
     key = (
         F.when(F.col("group_no").isNotNull(), F.concat(F.lit("P"), F.col("group_no")))
         .when(F.col("build_id").isNotNull() & F.col("patch_idx").isNotNull(), F.concat_ws(":", F.lit("B"), "build_id", "patch_idx"))
-        .otherwise(F.concat(F.lit("R"), F.col("patch_id")))
+        .otherwise(F.concat(F.lit("R"), F.coalesce(F.col("patch_id").cast("string"), F.lit("?"))))
     )
     return out.select("patch_id", "patient_id", "group_no", key.alias("group_key"))
 

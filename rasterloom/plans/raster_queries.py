@@ -249,7 +249,13 @@ for _size in (3, 7):
     )
 
 
-@query("regional_maxima")
+_NEAR8 = "q.image_id = p.image_id AND abs(q.r - p.r) <= 1 AND abs(q.c - p.c) <= 1 AND (q.r <> p.r OR q.c <> p.c)"
+
+
+@query("regional_maxima", f"""WITH RECURSIVE {PX}, flat AS (SELECT image_id FROM px GROUP BY image_id HAVING min(v) = max(v)),
+ low(image_id, r, c, v) AS (SELECT DISTINCT p.image_id, p.r, p.c, p.v FROM px p JOIN px q ON {_NEAR8} WHERE q.v > p.v
+   UNION SELECT p.image_id, p.r, p.c, p.v FROM px p JOIN low q ON {_NEAR8} AND p.v = q.v)
+ SELECT image_id, r, c FROM px WHERE NOT EXISTS (SELECT 1 FROM low l WHERE l.image_id = px.image_id AND l.r = px.r AND l.c = px.c) AND image_id NOT IN (SELECT image_id FROM flat)""")
 def regional_maxima(spark, d):
     return to_px(map_images(images(spark, d), lambda x: K.regional_maxima(x).astype(float))).where("v = 1").select("image_id", "r", "c")
 
@@ -575,10 +581,11 @@ for _name, _pipe in {
     "febds_log": L.Febds("log"),
     "febds_fft": L.Febds("fft"),
     "sbrg": L.Sbrg(),
-    "top_hat_r4": L.TopHat(4),
     "custom_gauss_otsu": L.Pipeline(lambda x: K.gaussian(x, 2.0), lambda x: K.gaussian(x, 2.0), K.otsu),
     "roi_top_hat_kmeans": L.Pipeline(lambda x: np.clip(x[:, 1:7, 1:7] / 4095.0, 0, 1), lambda x: K.white_top_hat(x, 1), L.KMeans(seed=None).kernel),
     "pfcm_mask": L.Pfcm(seed=None),
 }.items():
     query(_name)(lambda spark, d, p=_pipe: _px(p(images(spark, d))))
+_E4 = stencil("px", 4, "zero", "min({n})")
+query("top_hat_r4", f"WITH {PX}, e AS ({_E4}), o AS ({stencil('e', 4, 'zero', 'max({n})')}) SELECT image_id, r, c, greatest(px.v - o.v, 0) AS v FROM px JOIN o USING (image_id, r, c)")(lambda spark, d: _px(L.TopHat(4)(images(spark, d))))
 query("patch_kmeans")(lambda spark, d: _px(L.per_patch_kmeans(images(spark, d), 4)))

@@ -79,13 +79,16 @@ def _buckets(classes: DataFrame, name: str) -> DataFrame:
 
 
 def _grid_hits(a: Column, b: Column) -> Column:
-    """Shingles that two thumbnails share, of PIXELS x GRIDS."""
-    shift = BIN // GRIDS
-    per = lambda x, y: sum(
-        F.when(F.floor((x + g * shift) / BIN) == F.floor((y + g * shift) / BIN), 1).otherwise(0) for g in range(GRIDS)
-    )
-    clip = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(4095))
-    return F.aggregate(F.zip_with(a, b, lambda x, y: per(clip(x), clip(y))), F.lit(0), lambda s, v: s + v)
+    """Shingles that two thumbnails share, of PIXELS x GRIDS.
+
+    The grids' bin borders together are the multiples of BIN / GRIDS, each the
+    border of one grid; two grey levels with n such borders between them differ
+    in n grids, or in all.
+    """
+    bits = (BIN // GRIDS).bit_length() - 1
+    step = lambda x: F.shiftright(F.least(F.greatest(x, F.lit(0)), F.lit(4095)), bits)
+    per = lambda x, y: F.lit(GRIDS) - F.least(F.abs(step(x) - step(y)), F.lit(GRIDS))
+    return F.aggregate(F.zip_with(a, b, per), F.lit(0), lambda s, v: s + v)
 
 
 def films_with_split(samples: DataFrame) -> DataFrame:

@@ -69,3 +69,12 @@ def test_copies_are_compared_once(spark):
     df = spark.createDataFrame([(i, "Mass-Test" if i % 2 else "Mass-Training", f"P_{i}", "L", "CC", None, "s", t, "") for i in range(20)], DDL)
     films = O.films_with_split(df)
     assert O.near_thumbs(films)[0].count() == 1 and O.cross_split_pairs(films).count() == 100
+
+
+def test_shared_shingles_are_counted_exactly(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-50, 4200, (40, 64))
+    y = np.where(rng.random((40, 64)) < 0.5, x + rng.integers(-600, 600, (40, 64)), rng.integers(0, 4096, (40, 64)))
+    df = spark.createDataFrame([(i, [int(v) for v in a], [int(v) for v in b]) for i, (a, b) in enumerate(zip(x, y))], "i int, a array<int>, b array<int>")
+    got = [r.n for r in df.select("i", O._grid_hits(F.col("a"), F.col("b")).alias("n")).orderBy("i").collect()]
+    assert got == [len(np.intersect1d(p, q)) for p, q in zip(O._shingles(x), O._shingles(y))]

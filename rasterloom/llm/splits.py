@@ -23,7 +23,7 @@ from rasterloom.session import cut
 #: Bins that the components are balanced over; shares are met to about 1 / BINS.
 BINS = 40
 #: Components that one task balances; only BINS sums per task reach the driver.
-COMPONENTS_PER_TASK = 200_000
+COMPONENTS_PER_TASK = 50_000
 
 
 def record_groups(records: DataFrame) -> DataFrame:
@@ -102,7 +102,8 @@ def largest_differencing(weights: list[tuple[float, ...]]) -> tuple[list[float],
     while len(heap) > 1:
         _, _, sa, ta = heapq.heappop(heap)
         _, _, sb, tb = heapq.heappop(heap)
-        merged = [(sa[j] + sb[k - 1 - j], (ta[j], tb[k - 1 - j])) for j in range(k)]
+        # an empty side adds no node, so the trees hold one node per input, not k
+        merged = [(sa[j] + sb[k - 1 - j], tb[k - 1 - j] if ta[j] is None else ta[j] if tb[k - 1 - j] is None else (ta[j], tb[k - 1 - j])) for j in range(k)]
         merged.sort(key=lambda x: -x[0])
         sums = [m[0] for m in merged]
         heapq.heappush(heap, (-(sums[0] - sums[-1]), next(tick), sums, [m[1] for m in merged]))

@@ -31,7 +31,7 @@ _ENABLE = r"(?:enable|activate|allow|turn\s+on|switch\s+on)"
 _ROWS = ("qwertyuiop", "qwertzuiop", "azertyuiop", "asdfghjkl", "qsdfghjklm", "zxcvbnm", "yxcvbnm")
 
 
-def _row_runs() -> str:
+def _row_runs() -> list[str]:
     """Three or more neighbouring keys of a row, with at most one stray letter behind them."""
     out = set()
     for row in _ROWS:
@@ -40,10 +40,10 @@ def _row_runs() -> str:
             for letter in reversed(row[i + 3 :]):
                 tail = f"(?:{letter}{tail})?"
             out.add(row[i : i + 3] + tail)
-    return "(?:" + "|".join(sorted(out)) + r")\p{L}?"
+    return [f"{run}\\p{{L}}?(?!\\p{{L}})" for run in sorted(out)]
 
 
-_KEYS = _row_runs() + r"(?!\p{L})"
+_KEYS = "(?:" + "|".join(_row_runs()) + ")"
 
 #: Unfilled placeholders; each begins with one of the signs in SIGNS.
 SIGNS = r"[{$#<\[&_%@]"
@@ -74,7 +74,8 @@ FILLER_ANYWHERE = (
     # keyboard rows
     r"(?:(?:asdf|qwer|qwert[zy]|zxcv|yxcv|hjkl|jklö|uiop|sdfg|fghj)\s?){2}",
     r"(?:qwert[zy]uiop|azertyuiop|asdfghjk|qsdfghjk|zxcvbnm|yxcvbnm)",
-    _KEYS + r"(?:[\s,.;!\-]+" + _KEYS + "){2}",
+    # three tokens from a keyboard's rows, one branch for each first run
+    *(run + r"(?:[\s,.;!\-]+" + _KEYS + "){2}" for run in _row_runs()),
 )
 FILLER_AT_START = (
     r"(?:default|sample|dummy|example|placeholder)\s+(?:body|text|copy|content)\b.{0,20}\b(?:edit|replace|goes|change|remove)\b",
@@ -138,6 +139,51 @@ KINDS = {
 }
 
 
+def _alternatives(p: str) -> tuple[list[str], str]:
+    """Branches of the group that a pattern starts with, and what follows it."""
+    depth, start, out, i, in_class = 0, 3, [], 0, False
+    while i < len(p):
+        c = p[i]
+        if c == "\\":
+            i += 2
+            continue
+        if in_class or c == "[":
+            in_class = c != "]"
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth == 0:
+                return [*out, p[start:i]], p[i + 1 :]
+        elif c == "|" and depth == 1:
+            out.append(p[start:i])
+            start = i + 1
+        i += 1
+    raise ValueError(f"unbalanced pattern {p}")
+
+
+def first_characters(p: str) -> set[str]:
+    """Characters that a match of the pattern can start with."""
+    if p.startswith("(?:"):
+        branches, rest = _alternatives(p)
+        out = set().union(*(first_characters(b) for b in branches))
+        return out | first_characters(rest[1:]) if rest.startswith("?") else out
+    if p.startswith("["):
+        return set(p[1 : p.index("]")])
+    if not p or not (p[0].isalnum() or p[0] == "<"):
+        raise ValueError(f"no plain start: {p}")
+    return {p[0]} | (first_characters(p[2:]) if p[1:2] == "?" else set())
+
+
+def _dispatched(phrases: tuple[str, ...]) -> str:
+    """The alternation of the phrases, entered by its first character."""
+    by: dict[str, list[str]] = {}
+    for p in phrases:
+        for c in sorted(first_characters(p)):
+            by.setdefault(c, []).append(p)
+    return "(?:" + "|".join(f"(?={c})(?:" + "|".join(ps) + ")" for c, ps in sorted(by.items())) + ")"
+
+
 def _pattern(signs: tuple, anywhere: tuple, at_start: tuple, repeated: tuple) -> str:
     """One alternation, for text in lower case, whose branches are entered only at a sign, a word or a sentence start."""
     out = []
@@ -146,9 +192,9 @@ def _pattern(signs: tuple, anywhere: tuple, at_start: tuple, repeated: tuple) ->
     if signs:
         out.append("(?=" + SIGNS + ")(?:" + "|".join(signs) + ")")
     if anywhere:
-        out.append(r"(?<![\p{L}\p{N}])(?:" + "|".join(anywhere) + ")")
+        out.append(r"(?<![\p{L}\p{N}])" + _dispatched(anywhere))
     if at_start:
-        out.append(_START + "(?:" + "|".join(at_start) + ")")
+        out.append(_START + _dispatched(at_start))
     return "(?:" + "|".join(out) + ")"
 
 
@@ -257,7 +303,7 @@ def residue(docs: DataFrame) -> DataFrame:
     if mock:
         # of four words three of which are mock, two neighbours are
         word = "(?:" + "|".join(mock) + ")"
-        worth = worth | F.lower("text").rlike(rf"(?<!\p{{L}}){word}[^\p{{L}}]++{word}(?!\p{{L}})")
+        worth = worth | F.lower("text").rlike(r"(?<!\p{L})" + _dispatched(tuple(rf"{w}[^\p{{L}}]++{word}(?!\p{{L}})" for w in mock)))
         kind = F.coalesce(kind, F.when(mock_sentence(F.col("line"), mock), F.lit("filler")))
     lines = cut(
         document_lines(docs.where(worth))

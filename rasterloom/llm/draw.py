@@ -171,7 +171,7 @@ def flight(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarra
         if len(open_) < 2:
             return pi
         win = open_[: x.shape[1] + 1]
-        a = x[win].T
+        a = x[win].T.astype(float)
         _, s, vt = np.linalg.svd(a, full_matrices=True)
         rank = int((s > 1e-9).sum())
         if rank >= len(win):
@@ -193,14 +193,14 @@ def _fly(land: bool, seed: int):
             f = f.sort_values(["rank_key", "row_id"])
             ids = sorted({c for cs in f["cells"] for c in cs})
             at = {c: i for i, c in enumerate(ids)}
-            x = np.zeros((len(f), len(ids)))
+            x = np.zeros((len(f), len(ids)), np.uint8)
             for i, cs in enumerate(f["cells"]):
                 for c in cs:
                     x[i, at[c]] = 1
             rng = np.random.default_rng([seed, int(draw), len(f)])
             pi = flight(f["pi"].to_numpy(float), x, rng)
             while land and ((pi > EPS) & (pi < 1 - EPS)).any():  # landing: give up one constraint after the other
-                x = x[:, :-1] if x.shape[1] > 1 else np.zeros((len(f), 1))
+                x = x[:, :-1] if x.shape[1] > 1 else np.zeros((len(f), 1), np.uint8)
                 before = pi
                 pi = flight(pi, x, rng)
                 if x.any() or not np.array_equal(before, pi):
@@ -237,7 +237,7 @@ def cube_draw(samples: DataFrame, roi_rows: DataFrame, targets: DataFrame, seed:
     pi = units.withColumn("pi", F.aggregate("cells", F.lit(1.0), lambda acc, c: F.least(acc, F.element_at(ratio, c))))
     ranked = pi.where("pi > 0").withColumn("rank_key", F.xxhash64(F.lit(seed), "draw_id", "row_id"))
     schema = "draw_id int, row_id bigint, cells array<bigint>, pi double, rank_key bigint"
-    # the parts are fixed by the units alone, so a rerun draws the same
+    # the parts are fixed by the units and the session's number of shuffle partitions, so a rerun draws the same
     parts = shuffle_width(spark)
     done, step = None, cut(ranked.repartition(parts, F.pmod("rank_key", F.lit(parts))).mapInPandas(_fly(parts == 1, seed), schema))
     while parts > 1:

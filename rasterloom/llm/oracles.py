@@ -15,14 +15,14 @@ _P1 = f"""WITH RECURSIVE r AS (SELECT patch_id, patient_id, build_id, patch_idx,
  num AS (SELECT r.patch_id, r.patient_id, coalesce(r.p, r.q, l.low) AS n FROM r LEFT JOIN low l ON l.build_id = r.build_id AND l.patch_idx = r.patch_idx),
  g AS (SELECT patch_id, patient_id, coalesce(c.m, n) AS group_no FROM num LEFT JOIN comp c ON c.a = num.n)"""
 
-_FILM = r"""film AS (SELECT sample_id, release_no, thumb,
+_FILM = r"""film AS (SELECT sample_id, release_no, thumb, source,
   regexp_replace(upper(coalesce(task, '')), '[^A-Z]', '', 'g') AS t0, regexp_replace(upper(coalesce(side, '')), '[^A-Z]', '', 'g') AS s0,
   regexp_replace(regexp_replace(upper(coalesce("view", '')), '[^A-Z]', '', 'g'), '^VIEW', '') AS v0,
   """ + _PID.format(c="patient_id") + " AS p0, " + _CASE_PID.format(c="case_id") + r""" AS p1,
   regexp_replace(upper(regexp_extract(coalesce(case_id, ''), '(?i)((?:calc|mass)[\s_\-]*(?:test|train(?:ing)?))', 1)), '[^A-Z]', '', 'g') AS t1,
   upper(regexp_extract(coalesce(case_id, ''), '(?i)p[\s_\-]*\d+[\s_\-]+(left|right)', 1)) AS s1,
   upper(regexp_extract(coalesce(case_id, ''), '(?i)p[\s_\-]*\d+[\s_\-]+(?:left|right)[\s_\-]+([a-z]+)', 1)) AS v1 FROM cbis_samples),
- f AS (SELECT sample_id, release_no, thumb, coalesce(p0, p1) AS patient,
+ f AS (SELECT sample_id, release_no, thumb, source, coalesce(p0, p1) AS patient,
   CASE WHEN s0 IN ('L', 'LEFT') THEN 'LEFT' WHEN s0 IN ('R', 'RIGHT') THEN 'RIGHT' ELSE nullif(s1, '') END AS side, coalesce(nullif(v0, ''), nullif(v1, '')) AS "view",
   CASE WHEN tt LIKE 'CALCTEST%' THEN 'Calc-Test' WHEN tt LIKE 'CALCTRAIN%' THEN 'Calc-Training' WHEN tt LIKE 'MASSTEST%' THEN 'Mass-Test' WHEN tt LIKE 'MASSTRAIN%' THEN 'Mass-Training' END AS task
   FROM (SELECT *, CASE WHEN regexp_matches(t0, '^(CALC|MASS)(TEST|TRAIN)') THEN t0 ELSE t1 END AS tt FROM film))"""
@@ -52,6 +52,12 @@ ORACLES: dict[str, str] = {
     "p5_found": f"""WITH {_FILM}, a AS (SELECT * FROM f WHERE task LIKE '%Test'), b AS (SELECT * FROM f WHERE task LIKE '%Training')
  SELECT DISTINCT least(a.sample_id, b.sample_id) AS sample_id_a, greatest(a.sample_id, b.sample_id) AS sample_id_b FROM a JOIN b ON (a.patient = b.patient AND a.side = b.side AND a."view" = b."view")
   OR (len(a.thumb) = 64 AND len(b.thumb) = 64 AND list_sum(list_transform(list_zip(a.thumb, b.thumb), lambda x: abs(x[1] - x[2]))) <= 30 * 64)""",
+    "p5_report": f"""WITH {_FILM}, a AS (SELECT * FROM f WHERE task LIKE '%Test'), b AS (SELECT * FROM f WHERE task LIKE '%Training'),
+ p AS (SELECT a.sample_id AS t, b.sample_id AS r FROM a JOIN b ON (a.patient = b.patient AND a.side = b.side AND a."view" = b."view")
+  OR (len(a.thumb) = 64 AND len(b.thumb) = 64 AND list_sum(list_transform(list_zip(a.thumb, b.thumb), lambda x: abs(x[1] - x[2]))) <= 30 * 64)),
+ hit AS (SELECT t AS sample_id, count(*) AS n FROM p GROUP BY t UNION ALL SELECT r, count(*) FROM p GROUP BY r)
+ SELECT CASE WHEN task LIKE '%Test' THEN 'Test' ELSE 'Training' END AS split_name, source, count(*) AS n_rows, count(n) AS n_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs
+ FROM f LEFT JOIN hit USING (sample_id) WHERE task IS NOT NULL GROUP BY 1, 2""",
     "p7_found": r"""WITH w AS (SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items),
  g AS (SELECT DISTINCT kind, id, array_to_string(ws[i:i + 9], ' ') AS t FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 8)) AS i FROM w WHERE len(ws) >= 10))
  SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM g d JOIN g e ON d.t = e.t WHERE d.kind = 0 AND e.kind = 1""",

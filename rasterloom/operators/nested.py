@@ -372,7 +372,7 @@ def flatten_documents(records: DataFrame, id_col: str = "xml_id", body_col: str
 def flatten_roi_entries(samples: DataFrame) -> DataFrame:
     """Entries of ``roi_entries`` with a path, in the same columns: kind roi_entry, record_id = sample_id, roi_no."""
     e = samples.where("sample_id is not null").select("sample_id", F.posexplode("roi_entries").alias("pos", "e"))
-    filled = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
+    filled = lambda c: F.coalesce(F.col(c).rlike(r"\S"), F.lit(False))
     return e.where(filled("e.roi_path") | filled("e.mask_path")).select(
         F.lit("roi_entry").alias("kind"),
         F.col("sample_id").alias("record_id"),

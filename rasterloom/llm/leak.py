@@ -27,6 +27,7 @@ RADIUS = BLOCKS - 1
 MIN_SIMILARITY = 0.8
 #: Weights of single words and of word pairs in fingerprint and similarity.
 WORD_WEIGHT, PAIR_WEIGHT = 1, 2
+assert PASSAGE * WORD_WEIGHT + (PASSAGE - 1) * PAIR_WEIGHT < 128
 #: Item words that are broadcast at once; a longer set of items is searched in blocks.
 ITEM_WORDS = 400_000
 #: Words fingerprinted at once.
@@ -66,16 +67,27 @@ def _signs(h: np.ndarray) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
+def _window_sums(x: np.ndarray, width: int) -> np.ndarray:
+    """Sums of ``width`` neighbouring rows, from sums of 1, 2, 4, ... rows. The weighted sums of a window fit 8 bits."""
+    n, at, size, block, out = len(x) - width + 1, 0, 1, x, None
+    while width:
+        if width & 1:
+            part = block[at : at + n]
+            out = part if out is None else out + part
+            at += size
+        width >>= 1
+        if width:
+            block = block[:-size] + block[size:]
+            size *= 2
+    return out
+
+
 def window_fingerprints(h: np.ndarray) -> np.ndarray:
     """SimHash of every PASSAGE-word window of the word sequence."""
     n = len(h) - PASSAGE + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros((n, 64), np.int16)
-    for x, width, weight in ((h, PASSAGE, WORD_WEIGHT), (_pairs(h), PASSAGE - 1, PAIR_WEIGHT)):
-        run = np.zeros((len(x) + 1, 64), np.int32)
-        np.cumsum(_signs(x), axis=0, out=run[1:])
-        total += ((run[width : width + n] - run[:n]) * weight).astype(np.int16)
+    total = _window_sums(_signs(h), PASSAGE) * np.int8(WORD_WEIGHT) + _window_sums(_signs(_pairs(h)), PASSAGE - 1) * np.int8(PAIR_WEIGHT)
     return np.packbits(total > 0, axis=1).view(np.uint64).reshape(-1)
 
 

@@ -82,3 +82,9 @@ def test_empty(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     i = spark.createDataFrame([], "item_id bigint, text string, split_name string")
     assert L.leaks(d, i).count() == 0 and L.leak_report(L.leaks(d, i), i).count() == 0
+
+
+def test_window_sums():
+    x = np.random.default_rng(1).integers(-1, 2, (30, 64)).astype(np.int8)
+    for width in (1, 2, 7, 9, 10, 30):
+        assert np.array_equal(L._window_sums(x, width), np.stack([x[i : i + width].sum(axis=0) for i in range(30 - width + 1)]))

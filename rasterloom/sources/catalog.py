@@ -21,13 +21,12 @@ def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def numeric_id(name: Column) -> Column:
     """Leading digits, or null."""
-    d = F.regexp_extract(name, r"^(\d+)", 1)
-    return F.when(d != "", d)
+    return F.nullif(F.regexp_extract(name, r"^(\d+)", 1), F.lit(""))
 
 
 def has_suffix(path: Column, suffix: str) -> Column:

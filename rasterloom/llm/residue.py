@@ -7,6 +7,8 @@ whose residual holds evidence are found. All of it is JVM-side expressions.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,10 @@ from rasterloom.session import cut
 #: A line is a host's boilerplate if so many, and such a share, of its documents hold it.
 BOILERPLATE_DOCS, BOILERPLATE_SHARE = 20, 0.05
 
-#: Words of the corpus' mock Latin: those in such a share of its seed sentences
-#: (the ones with the classic opening); at most so many of them are kept.
-MOCK_SHARE, MOCK_WORDS = 0.05, 600
+#: A word of a sentence with the classic opening (a seed) is peculiar to seeds if, of the
+#: distinct sentences that hold it, seeds are MOCK_LIFT times their share of all sentences
+#: or more, or half of them or more.
+MOCK_LIFT = 10
 #: A sentence is mock Latin if it has so many words, such a share of them mock words.
 MOCK_SENTENCE_WORDS, MOCK_SENTENCE_SHARE = 4, 0.75
 
@@ -243,19 +246,42 @@ def mock_words(docs: DataFrame) -> list[str]:
     """The corpus' own mock-Latin vocabulary, from the sentences with the classic opening.
 
     Generators shuffle their vocabulary, so most filler sentences lack the
-    opening, but their words recur in those that have it. Words of a person who
-    only mentions the opening stay below MOCK_SHARE. Bounded: MOCK_WORDS words.
+    opening, but their words recur in those that have it. Sentences count once,
+    however often they are copied. A seed teaches its words only if
+    MOCK_SENTENCE_SHARE of them are peculiar to seeds, so a person's sentence
+    about the opening teaches none.
     """
-    seeds = (
+    opening = r"lorem\s+ipsum"
+    seeds = cut(
         document_lines(docs.where(F.lower("text").contains("ipsum")))
         .select(F.explode(F.split("line", r"[.!?]+")).alias("sentence"))
-        .where(F.lower("sentence").rlike(r"lorem\s+ipsum"))
-        .select(F.array_distinct(_words(F.col("sentence"))).alias("words"))
+        .where(F.lower("sentence").rlike(opening))
+        .select(F.array_distinct(_words(F.col("sentence"))).alias("words"), F.xxhash64(_words(F.col("sentence"))).alias("seed"))
+        .dropDuplicates(["seed"])
     )
-    counted = seeds.select(F.explode("words").alias("w"), F.lit(1).alias("one")).groupBy("w").agg(F.count("*").alias("n"))
-    total = seeds.count()
-    rows = counted.where(F.col("n") >= MOCK_SHARE * total).orderBy(F.desc("n"), "w").limit(MOCK_WORDS).collect() if total else []
-    return [r.w for r in rows]
+    inside = seeds.select("seed", F.explode("words").alias("w")).where(~F.col("w").isin("lorem", "ipsum"))
+    n_seed = {r.w: r.n for r in inside.groupBy("w").agg(F.count("*").alias("n")).collect()}
+    if not n_seed:
+        return []
+    words = _words(F.col("sentence"))
+    others = (
+        docs.where("text is not null")
+        .select(F.explode(F.split(F.lower("text"), r"[.!?\r\n]+")).alias("sentence"))
+        .where(~F.col("sentence").rlike(opening))
+        .select(F.xxhash64(words).alias("s"), F.array_distinct(F.filter(words, lambda w: w.isin(list(n_seed)))).alias("ws"))
+        .groupBy("s").agg(F.first("ws").alias("ws"))
+    )
+    # one row a word, and one of all sentences under the empty word
+    n_other = {r.w: r.n for r in others.select(F.explode(F.concat("ws", F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    n_seeds = seeds.count()
+    least = min(MOCK_LIFT * n_seeds / (n_seeds + n_other.get("", 0)), 0.5)
+    peculiar = [w for w, n in n_seed.items() if n / (n + n_other.get(w, 0)) >= least]
+    if not peculiar:
+        return []
+    own = F.col("w").isin(peculiar)
+    teaching = inside.groupBy("seed").agg(F.avg(own.cast("int")).alias("share")).where(F.col("share") >= MOCK_SENTENCE_SHARE)
+    learnt = {r.w for r in inside.where(own).join(teaching, "seed", "left_semi").select("w").distinct().collect()}
+    return sorted(learnt | {"lorem", "ipsum"}) if learnt else []
 
 
 def mock_sentence(line: Column, mock: list[str]) -> Column:
@@ -301,9 +327,8 @@ def residue(docs: DataFrame) -> DataFrame:
     mock = mock_words(docs)
     worth, kind = worth_reading(F.col("text")), evidence_kind(F.col("line"))
     if mock:
-        # of four words three of which are mock, two neighbours are
-        word = "(?:" + "|".join(mock) + ")"
-        worth = worth | F.lower("text").rlike(r"(?<!\p{L})" + _dispatched(tuple(rf"{w}[^\p{{L}}]++{word}(?!\p{{L}})" for w in mock)))
+        least = math.ceil(MOCK_SENTENCE_WORDS * MOCK_SENTENCE_SHARE)
+        worth = worth | (F.size(F.filter(_words(F.col("text")), lambda w: w.isin(mock))) >= least)
         kind = F.coalesce(kind, F.when(mock_sentence(F.col("line"), mock), F.lit("filler")))
     lines = cut(
         document_lines(docs.where(worth))

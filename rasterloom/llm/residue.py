@@ -142,6 +142,10 @@ KINDS = {
 }
 
 
+#: Every text in which masked_lines masks anything holds one of these.
+MASKED = r"(?m)[`\"“„«‹»「]|~~~|</|<(?:pre|code)\b|^(?: {4}|\t)|\r(?: {4}|\t)"
+
+
 def _alternatives(p: str) -> tuple[list[str], str]:
     """Branches of the group that a pattern starts with, and what follows it."""
     depth, start, out, i, in_class = 0, 3, [], 0, False
@@ -202,10 +206,17 @@ def _pattern(signs: tuple, anywhere: tuple, at_start: tuple, repeated: tuple) ->
 
 
 def worth_reading(text: Column) -> Column:
-    """Whether a text, read as it is, holds any of the phrases anywhere: a superset of the found ones."""
+    """Whether a text holds any of the phrases anywhere: a superset of the found ones.
+
+    The text is read as it is and, where something may be masked in it, also
+    with the masks, which close gaps in phrases. Line ends end a phrase as the
+    end of a line does.
+    """
     signs, anywhere, repeated = (tuple(x for k in KINDS.values() for x in k[i]) for i in (0, 1, 3))
     starts = tuple(x for k in KINDS.values() for x in k[2])
-    return F.lower(text).rlike(_pattern(signs, anywhere + starts, (), repeated))
+    phrase = "(?m)" + _pattern(signs, anywhere + starts, (), repeated)
+    masked = text.rlike(MASKED) & F.lower(F.array_join(masked_lines(text), "\n")).rlike(phrase)
+    return F.lower(text).rlike(phrase) | masked
 
 
 def masked_lines(text: Column) -> Column:

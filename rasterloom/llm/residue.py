@@ -333,7 +333,7 @@ def residue(docs: DataFrame) -> DataFrame:
     counted: the evidence is looked for first, in the scan, and the few lines
     with any are shuffled, with the hosts' sizes (one row per host). A line with
     evidence that BOILERPLATE_SHARE of its host's documents repeat is the host's
-    furniture and no evidence.
+    furniture and no evidence where it stands beside other content (beside_content).
     """
     mock = mock_words(docs)
     worth, kind = worth_reading(F.col("text")), evidence_kind(F.col("line"))
@@ -352,5 +352,31 @@ def residue(docs: DataFrame) -> DataFrame:
     sizes = docs.groupBy(host.alias("host")).agg(F.count("*").alias("host_docs"))
     counted = lines.groupBy("host", "norm").agg(F.count("*").alias("n_docs"))
     furniture = counted.join(sizes, "host").where((F.col("n_docs") >= BOILERPLATE_DOCS) & (F.col("n_docs") >= BOILERPLATE_SHARE * F.col("host_docs")))
-    residual = lines.join(furniture.select("host", "norm"), ["host", "norm"], "left_anti")
+    furniture = cut(furniture.select("host", "norm"))
+    if furniture.isEmpty():
+        return lines.select("doc_id", "kind").distinct()
+    residual = lines.join(beside_content(docs, lines, furniture), ["doc_id", "host", "norm"], "left_anti")
     return residual.select("doc_id", "kind").distinct()
+
+
+def beside_content(docs: DataFrame, lines: DataFrame, furniture: DataFrame) -> DataFrame:
+    """doc_id, host, norm of the furniture that stands beside other content in its document.
+
+    Documents of furniture alone are no such ones, nor are the copies of one
+    page: those with the same other lines, if they are most of the documents
+    in which the line stands beside any.
+    """
+    held = lines.join(furniture, ["host", "norm"]).select("doc_id", "host", "norm").distinct()
+    rest = (
+        document_lines(docs.join(held.select("doc_id").distinct(), "doc_id", "left_semi"))
+        .select("doc_id", "host", normalised(F.col("line")).alias("norm"))
+        .where("norm <> ''")
+        .distinct()
+        .join(furniture, ["host", "norm"], "left_anti")
+        .groupBy("doc_id", "host").agg(F.bit_xor(F.xxhash64("norm")).alias("rest"))
+    )
+    beside = held.join(rest, ["doc_id", "host"])
+    copies = beside.groupBy("host", "norm", "rest").agg(F.count("*").alias("n"))
+    most = copies.groupBy("host", "norm").agg(F.sum("n").alias("total"))
+    pages = copies.join(most, ["host", "norm"]).where("n > 1 and 2 * n > total").select("host", "norm", "rest")
+    return beside.join(pages, ["host", "norm", "rest"], "left_anti").select("doc_id", "host", "norm")

@@ -1,10 +1,12 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Every document is cut into windows of PASSAGE words; each window gets a SimHash
-of its weighted word shingles. Item windows are indexed by BLOCKS blocks of
-their fingerprints: fingerprints within RADIUS bits agree in at least one block,
-so no neighbour is missed. The exact weighted shingle similarity verifies the
-candidates, and a word-by-word comparison tells exact passages.
+Every document is cut into windows of PASSAGE words. Item windows are indexed by
+the hashes of their word pairs without each one of the pairs in turn: windows
+that reach MIN_SIMILARITY agree in at least one of these keys, so none is missed.
+The exact weighted shingle similarity verifies the candidates, and a word-by-word
+comparison tells exact passages. Fingerprints within RADIUS bits (candidates)
+can be looked up besides; the search does not use them, as near windows differ
+in more bits.
 """
 
 from __future__ import annotations
@@ -91,6 +93,20 @@ def window_fingerprints(h: np.ndarray) -> np.ndarray:
     return np.packbits(total > 0, axis=1).view(np.uint64).reshape(-1)
 
 
+def deletion_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For the windows that start at ``at``: the sum of their pairs' hashes without each one of the pairs in turn.
+
+    A window that reaches MIN_SIMILARITY lacks at most one pair of the other
+    (asserted below), so two such windows have a key in common.
+    """
+    p = _mix(_pairs(h))[at[:, None] + np.arange(PASSAGE - 1)]
+    return p.sum(axis=1, dtype=np.uint64)[:, None] - p
+
+
+_WHOLE = PASSAGE * WORD_WEIGHT + (PASSAGE - 1) * PAIR_WEIGHT
+assert (_WHOLE - 2 * PAIR_WEIGHT) / (_WHOLE + 2 * PAIR_WEIGHT) < MIN_SIMILARITY
+
+
 class ItemIndex:
     """Windows of the items, by blocks of their fingerprints."""
 
@@ -102,6 +118,12 @@ class ItemIndex:
         inside = owner[at] == owner[at + PASSAGE - 1] if len(fp) else np.zeros(0, bool)
         self.at, self.fp = at[inside], fp[inside]
         self.item = owner[self.at] if len(self.at) else np.zeros(0, np.int64)
+        keys = deletion_keys(self.h, self.at) if len(self.at) else np.zeros((0, PASSAGE - 1), np.uint64)
+        entries = np.stack((keys.ravel(), np.repeat(np.arange(len(keys), dtype=np.uint64), PASSAGE - 1)))
+        self.keys, self.window = np.unique(entries, axis=1)
+        self.window = self.window.astype(np.int64)
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[self.keys & np.uint64(len(self.marks) - 1)] = True
         self.blocks = []
         for b in range(BLOCKS):
             v = ((self.fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -121,6 +143,16 @@ class ItemIndex:
         return tuple(np.unique(np.concatenate(found, axis=1), axis=1)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
+    def near(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item window) pairs with a deletion key in common."""
+        who, k = np.nonzero(self.marks[keys & np.uint64(len(self.marks) - 1)])
+        v = keys[who, k]
+        lo = np.searchsorted(self.keys, v)
+        n = np.searchsorted(self.keys, v, "right") - lo
+        mine = self.window[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        return tuple(np.unique(np.stack((np.repeat(who, n), mine)), axis=1))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of the shingle multisets of windows (rows of word hashes)."""
     both = np.zeros(len(a))
@@ -141,11 +173,11 @@ def search(texts: list[str | None], index: ItemIndex) -> pd.DataFrame:
     parts = []
     for a in range(0, max(len(h) - PASSAGE + 1, 0), CHUNK_WORDS):
         piece = h[a : a + CHUNK_WORDS + PASSAGE - 1]
-        fp = window_fingerprints(piece)
-        at = np.arange(a, a + len(fp))
-        inside = owner[at] == owner[at + PASSAGE - 1]
-        at, fp = at[inside], fp[inside]
-        who, mine = index.candidates(fp)
+        at = np.arange(a, a + len(piece) - PASSAGE + 1)
+        at = at[owner[at] == owner[at + PASSAGE - 1]]
+        if not len(at):
+            continue
+        who, mine = index.near(deletion_keys(piece, at - a))
         for b in range(0, len(who), 20_000):
             w, m = at[who[b : b + 20_000]], index.at[mine[b : b + 20_000]]
             span = np.arange(PASSAGE)

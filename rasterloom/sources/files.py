@@ -23,7 +23,7 @@ from rasterloom.sources import codecs
 
 HEADER_DDL = "file_path string, h int, w int, bits_stored int, window_center double, window_width double"
 SCAN_DDL = "file_path string, image_type string, h int, w int, c int, dtype string, bits_stored int, window_center double, window_width double, pixels array<double>, error string"
-#: Bytes read of a file whose header is wanted.
+#: Bytes first read of a file whose header is wanted.
 HEADER_BYTES = 1 << 16
 
 
@@ -185,11 +185,17 @@ class _Reader(DataSourceReader):
             yield tuple(_listed(row[f.name]) if f.name == "pixels" else row[f.name] for f in _SCAN)
             return
         with open(partition.path, "rb") as f:
-            data = f.read(HEADER_BYTES)
-        try:
-            head = codecs.parse_dicom(data)[0]
-        except UnsupportedFile:
-            head = {}
+            data, more = b"", HEADER_BYTES
+            while True:
+                piece = f.read(more)
+                data += piece
+                try:
+                    head = codecs.parse_dicom(data)[0]
+                except UnsupportedFile:
+                    head = {}
+                if len(piece) < more or (head.get("rows") is not None and head.get("cols") is not None):
+                    break
+                more = len(data)
         yield (partition.path, head.get("rows"), head.get("cols"), head.get("bits_stored"), head.get("window_center"), head.get("window_width"))
 
 
@@ -242,7 +248,7 @@ class DicomSource(DataSource):
 
 
 class DicomHeaderSource(DataSource):
-    """Sizes and windows without reading pixels: at most HEADER_BYTES of each file."""
+    """Sizes and windows without reading pixels: HEADER_BYTES of each file, and on until rows and columns are found."""
 
     @classmethod
     def name(cls):

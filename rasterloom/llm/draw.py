@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.identity import film_identity, name_key, within_one_edit
+from rasterloom.llm.identity import film_identity, name_key, within_one_edit
 from rasterloom.session import cut, shuffle_width
 
 EPS = 1e-9

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.identity import patient_in_case, patient_in_id
-from rasterloom.operators.graph import connected_components
+from rasterloom.llm.identity import patient_in_case, patient_in_id
+from rasterloom.llm.graph import connected_components
 from rasterloom.session import cut
 
 #: Bins that the components are balanced over; shares are met to about 1 / BINS.

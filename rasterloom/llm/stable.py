@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.functions.identity import film_identity
+from rasterloom.llm.identity import film_identity
 from rasterloom.session import cut
 
 #: Positions of a block, a prime; TAKE of them are chosen in every block.

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import pathlib
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rasterloom.errors import EngineError
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of the input folder."""
@@ -19,16 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session on one
+    machine (master ``local``) may do without: it gets a temporary folder. On a
+    cluster such a folder would lie on each node's own disk, so it is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise EngineError("spark.checkpoint.dir must name a folder that all executors share", 500)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rasterloom-ckpt-"))
     return named or sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder, for tables that a query writes and reads again."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 

@@ -44,7 +44,18 @@ _P4 = f"""WITH {_FILM},
  ac AS (SELECT *, CAST('0x' || m[1:8] AS BIGINT) % 100 + 1 AS a, CAST('0x' || m[9:16] AS BIGINT) % 101 AS c FROM h),
  picked AS (SELECT *, EXISTS (SELECT 1 FROM range(10) t(i) WHERE (a * i + c) % 101 = seq % 101) AS chosen FROM ac)"""
 
+_P4_LEDGER = f"""WITH {_FILM.replace('release_no, thumb', 'release_no, received_at, thumb')},
+ named AS (SELECT release_no, coalesce(strftime(received_at, '%Y-%m'), '9999') AS month, task || '_P_' || CASE WHEN length(CAST(patient AS VARCHAR)) >= 5 THEN CAST(patient AS VARCHAR) ELSE lpad(CAST(patient AS VARCHAR), 5, '0') END || '_' || side || '_' || "view" AS case_name FROM f),
+ arrived AS (SELECT case_name, min(month) AS month FROM named WHERE case_name IS NOT NULL GROUP BY case_name),
+ s AS (SELECT case_name, month, min(release_no) AS first_release FROM named JOIN arrived USING (case_name, month) GROUP BY case_name, month),
+ steps AS (SELECT month, dense_rank() OVER (ORDER BY month) - 1 AS delivery FROM (SELECT DISTINCT month FROM s)),
+ n AS (SELECT *, row_number() OVER (ORDER BY month, first_release NULLS LAST, md5(case_name), case_name) - 1 AS seq FROM s JOIN steps USING (month)),
+ h AS (SELECT *, seq // 101 AS block_no, md5('rasterloom:' || seq // 101) AS m FROM n),
+ ac AS (SELECT *, CAST('0x' || m[1:8] AS BIGINT) % 100 + 1 AS a, CAST('0x' || m[9:16] AS BIGINT) % 101 AS c FROM h)
+ SELECT case_name, first_release, seq, block_no, CAST(delivery AS INTEGER) AS delivery FROM ac WHERE EXISTS (SELECT 1 FROM range(10) t(i) WHERE (a * i + c) % 101 = seq % 101)"""
+
 ORACLES: dict[str, str] = {
+    "p4_ledger": _P4_LEDGER,
     "p1_found": _P1 + " SELECT patch_id, group_no FROM g WHERE group_no IS NOT NULL AND patient_id IS DISTINCT FROM 'P_' || CASE WHEN length(CAST(group_no AS VARCHAR)) >= 5 THEN CAST(group_no AS VARCHAR) ELSE lpad(CAST(group_no AS VARCHAR), 5, '0') END",
     "p2_found": _P2 + " SELECT draw_id, cell_id FROM need JOIN have USING (cell_id) WHERE have.n < need.n",
     "p4_sample": _P4 + " SELECT case_name, first_release, seq, block_no FROM picked WHERE chosen",

@@ -53,6 +53,11 @@ def p4_growth(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("first_release").agg(F.count("*").alias("n_cases"), F.count_if(stable.chosen(F.col("seq"), "rasterloom")).alias("n_chosen"))
 
 
+def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The table as it arrived, month by month, through a stored ledger: the chosen cases with the delivery that numbered them."""
+    return stable.replay(table(spark, d, "cbis_samples"), F.date_format("received_at", "yyyy-MM")).sample()
+
+
 def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     films = overlap.films_with_split(table(spark, d, "cbis_samples"))
     return films, overlap.cross_split_pairs(films)
@@ -101,7 +106,7 @@ def p8_boilerplate(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     p1_found, p1_splits, p1_report,
     p2_found, p2_report, p2_sample,
-    p4_sample, p4_growth,
+    p4_sample, p4_growth, p4_ledger,
     p5_found, p5_report,
     p6_ids,
     p7_found, p7_report,

@@ -2,30 +2,35 @@
 
 Units are drawn with inclusion probabilities that meet every cell's target in
 expectation; the flight phase then moves the probabilities to 0 or 1 along
-directions that keep every cell's total. It runs in every partition on its own,
-what stays unresolved merges upward, and the landing phase ends the rest.
+directions that keep every cell's total. It runs in every part on its own, what
+stays unresolved merges upward, and the landing phase ends the rest.
+
+The plan of the draws is joined, never turned into expressions: units are
+classed by their categories, the few classes meet the cells, and the units meet
+their class.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.identity import film_identity, name_key, within_one_edit
-from rasterloom.session import cut, shuffle_width
+from rasterloom.session import cut
 
 EPS = 1e-9
-#: Most cells a set of draws may have; the plan of the draws is read by the driver.
-MAX_CELLS = 20_000
 #: Names of at least so many letters may be one edit off.
 TYPO_LETTERS = 7
-#: Partitions of unresolved units that one task of the next level takes.
+#: Units that one part of the first flight takes; the number of parts follows from the units, not from the cluster.
+UNITS_PER_PART = 200_000
+#: Parts of unresolved units that one task of the next level takes.
 FAN_IN = 16
+#: What a class or a cell says where it does not name a category.
+ANY = "*"
 
 
 def films(samples: DataFrame) -> DataFrame:
@@ -37,115 +42,173 @@ def films(samples: DataFrame) -> DataFrame:
     return f.groupBy("f_task", "f_patient", "f_side", "f_view").agg(F.min("sample_id").alias("row_id"))
 
 
-def rois(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Distinct (file_id, roi_no) with every listed name that its rows spell.
+def _letters(name: Column) -> Column:
+    return F.lower(F.regexp_replace(name, r"[^\p{L}]", ""))
+
+
+def _shorter(k: Column) -> Column:
+    """The word and every word with one letter left out: words one edit or swap apart have one of these in common."""
+    at = F.sequence(F.lit(1), F.length(k))
+    less = F.transform(at, lambda i: F.concat(F.substring(k, F.lit(1), i - 1), F.substring(k, i + 1, F.length(k))))
+    return F.array_distinct(F.concat(F.array(k), less))
 
-    A name counts in any case, spacing or punctuation, with a number, in the
-    plural, or, from TYPO_LETTERS letters on, one edit off; other names, null and
-    empty ones belong to no cell. Null file_id or roi_no name no ROI.
-    The few spellings are matched once each, not once per row.
+
+def spelt_names(spellings: DataFrame, names: DataFrame) -> DataFrame:
+    """k, name: the listed name that a spelling (column ``k``, letters in lower case) means, where it means one.
+
+    A name counts as it is, in the plural, or, from TYPO_LETTERS letters on, one
+    edit off; exact spellings go first, then the first name in order. The
+    candidates come from words with a letter left out, by an equality join.
     """
-    r = rows.where("file_id is not null and roi_no is not null").select("roi_row_id", "file_id", "roi_no", name_key(F.col("name")).alias("k"))
-    spelled = r.select("k").where("k <> ''").distinct()
-
-    def match(name: str) -> Column:
-        want = "".join(ch for ch in name.lower() if ch.isalpha())
-        k = F.col("k")
-        hit = k.isin(want, want + "s", want + "es")
-        if len(want) >= TYPO_LETTERS:
-            hit = hit | within_one_edit(k, F.lit(want))
-        return F.when(hit, F.lit(name))
-
-    found = spelled.withColumn("name", F.coalesce(*[match(n) for n in names], F.lit(None).cast("string")) if names else F.lit(None).cast("string"))
-    named = r.join(found.where("name is not null"), "k")
-    return named.groupBy("file_id", "roi_no").agg(F.min("roi_row_id").alias("row_id"), F.collect_set("name").alias("names"))
-
-
-class Cell:
-    """One wanted category of one draw."""
-
-    def __init__(self, r):
-        self.cell_id, self.draw_id, self.size = r.cell_id, r.draw_id, int(r.draw_size or 0)
-        self.side, self.task, self.view, self.roi = r.side, r.task, r.view, r.roi_name
-        self.share, self.min_rows = float(r.share or 0), int(r.min_rows or 0)
-        self.need = max(self.min_rows, int(np.floor(self.share * self.size + 0.5)))
-
-    def test(self) -> Column:
-        if self.roi is not None:
-            return F.array_contains("names", self.roi)
-        parts = [F.col(c) == v for c, v in (("f_side", self.side), ("f_task", self.task), ("f_view", self.view)) if v is not None]
-        return F.lit(True) if not parts else functools.reduce(lambda a, b: a & b, parts)
-
-
-def read_cells(targets: DataFrame) -> list[Cell]:
-    """The plan of the draws; it is configuration, of MAX_CELLS rows at most."""
-    rows = targets.where("cell_id is not null and draw_id is not null").orderBy("draw_id", "cell_id").limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"draw_targets has more than {MAX_CELLS} cells")
-    return [Cell(r) for r in rows]
-
-
-def units_of(samples: DataFrame, roi_rows: DataFrame, cells: list[Cell]) -> DataFrame:
-    """One row per draw and unit with the cells it counts in: draw_id, row_id, cells."""
-    out = None
-    by_draw: dict[int, list[Cell]] = {}
-    for c in cells:
-        by_draw.setdefault(c.draw_id, []).append(c)
-    groups = (
-        (films(samples), [(d, [c for c in cs if c.roi is None]) for d, cs in by_draw.items()]),
-        (rois(roi_rows, sorted({c.roi for c in cells if c.roi is not None})), [(d, [c for c in cs if c.roi is not None]) for d, cs in by_draw.items()]),
+    want = names.where("roi_name is not null").select(F.col("roi_name").alias("name"), _letters(F.col("roi_name")).alias("w")).where("w <> ''").distinct()
+    plural = want.select("name", "w", F.explode(F.array("w", F.concat("w", F.lit("s")), F.concat("w", F.lit("es")))).alias("k"))
+    longest = want.agg((F.max(F.length("w")) + 2).alias("longest"))  # one row; a longer word means no name
+    k = spellings.select("k").where("k <> ''").distinct().join(F.broadcast(longest), F.length("k") <= F.col("longest")).select("k")
+    exact = k.join(plural, "k").select("k", F.lit(0).alias("off"), "name")
+    near = (
+        k.select("k", F.explode(_shorter(F.col("k"))).alias("v"))
+        .join(want.where(F.length("w") >= TYPO_LETTERS).select("name", "w", F.explode(_shorter(F.col("w"))).alias("v")), "v")
+        .where(within_one_edit(F.col("k"), F.col("w")))
+        .select("k", F.lit(1).alias("off"), "name")
     )
-    for table, draws in groups:
-        draws = [(d, cs) for d, cs in draws if cs]
-        if not draws:
-            continue
-        per_draw = F.array(
-            *[
-                F.struct(
-                    F.lit(d).cast("int").alias("draw_id"),
-                    F.array_compact(F.array(*[F.when(c.test(), F.lit(c.cell_id).cast("bigint")) for c in cs])).alias("cells"),
-                )
-                for d, cs in draws
-            ]
-        )
-        u = table.select("row_id", F.explode(per_draw).alias("x")).select("x.draw_id", "row_id", "x.cells").where(F.size("cells") > 0)
-        out = u if out is None else out.unionByName(u)
-    if out is None:
-        return samples.sparkSession.createDataFrame([], "draw_id int, row_id bigint, cells array<bigint>")
-    return out
+    return exact.unionByName(near).groupBy("k").agg(F.min(F.struct("off", "name")).alias("m")).select("k", "m.name")
+
+
+def rois(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (file_id, roi_no) with every listed name that its rows spell: row_id, names.
+
+    ``names``: a table with roi_name. Other names, null and empty ones belong to
+    no cell. Null file_id or roi_no name no ROI. The few spellings are matched
+    once each, not once per row.
+    """
+    r = rows.where("file_id is not null and roi_no is not null").select("roi_row_id", "file_id", "roi_no", name_key(F.col("name")).alias("k"))
+    named = r.join(spelt_names(r, names), "k")
+    return named.groupBy("file_id", "roi_no").agg(F.min("roi_row_id").alias("row_id"), F.array_sort(F.collect_set("name")).alias("names"))
 
 
-def targets_within(cells: list[Cell], available: dict[int, int]) -> dict[int, float]:
-    """Rows to draw of each cell of one draw.
+def plan_cells(targets: DataFrame) -> DataFrame:
+    """The cells: draw_id, cell_id, size, share, min_rows, need, kind, dim and the key that its units' classes hold.
+
+    ``need`` is the greater of min_rows and the rounded share of the draw's
+    size. Cells that name the same set of categories (``dim``) share the draw's
+    size among them. A null size counts as 0, as does a null share or minimum
+    where the other is given; cells without an id or a draw are left out, and so
+    are those that give neither share nor minimum, as they want nothing.
+    """
+    t = targets.where("cell_id is not null and draw_id is not null and (share is not null or min_rows is not null)")
+    size, share = F.coalesce(F.col("draw_size").cast("bigint"), F.lit(0)), F.coalesce(F.col("share").cast("double"), F.lit(0.0))
+    least = F.coalesce(F.col("min_rows").cast("bigint"), F.lit(0))
+    film = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit(ANY)) for c in ("task", "side", "view")])
+    dim = F.concat(*[F.col(c).isNotNull().cast("int").cast("string") for c in ("task", "side", "view")])
+    roi = F.col("roi_name").isNotNull()
+    return t.select(
+        F.col("draw_id").cast("int").alias("draw_id"), F.col("cell_id").cast("bigint").alias("cell_id"), size.alias("size"), share.alias("share"), least.alias("min_rows"),
+        F.greatest(least, F.floor(share * size + 0.5).cast("bigint")).alias("need"),
+        F.when(roi, "roi").otherwise("film").alias("kind"), F.when(roi, "roi").otherwise(dim).alias("dim"), F.when(roi, F.col("roi_name")).otherwise(film).alias("key"),
+    )
+
+
+def classed_units(samples: DataFrame, roi_rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """All units with their class: kind, class, keys (every cell key that the class answers to), row_id."""
+    parts = ("f_task", "f_side", "f_view")
+    masked = [F.concat_ws("|", *[F.col(c) if m >> i & 1 else F.lit(ANY) for i, c in enumerate(parts)]) for m in range(8)]
+    f = films(samples).select(F.lit("film").alias("kind"), F.concat_ws("|", *parts).alias("class"), F.array(*masked).alias("keys"), "row_id")
+    r = rois(roi_rows, targets.select("roi_name")).select(F.lit("roi").alias("kind"), F.concat_ws("|", "names").alias("class"), F.col("names").alias("keys"), "row_id")
+    return f.unionByName(r)
+
+
+def class_cells(units: DataFrame, cells: DataFrame) -> DataFrame:
+    """kind, class, draw_id, cells (sorted) and n (units) of every class and draw that meet; sizes go with the classes, not the units."""
+    classes = units.groupBy("kind", "class").agg(F.first("keys").alias("keys"), F.count("*").alias("n"))
+    met = classes.select("kind", "class", "n", F.explode("keys").alias("key")).join(cells.select("kind", "key", "draw_id", "cell_id"), ["kind", "key"])
+    return met.groupBy("kind", "class", "n", "draw_id").agg(F.array_sort(F.collect_set("cell_id")).alias("cells"))
+
+
+def targets_within(size: float, share: np.ndarray, least: np.ndarray, available: np.ndarray) -> np.ndarray:
+    """Whole rows to draw of each cell of one dimension.
 
     Every cell gets its minimum as far as there are rows; what is left of the
     draw's size is spread in proportion to the shares, no cell beyond its rows.
+    Where the minima alone exceed the size, they are drawn all the same.
     """
-    left = float(cells[0].size)
-    low = {c.cell_id: float(min(c.min_rows, available.get(c.cell_id, 0))) for c in cells}
-    high = {c.cell_id: float(available.get(c.cell_id, 0)) for c in cells}
-    goal = min(left, sum(high.values()))
-    if goal <= sum(low.values()):
+    low, high = np.minimum(least, available).astype(float), available.astype(float)
+    live = high[share > 0].sum() + low[share <= 0].sum()
+    goal = min(float(size), live)
+    if goal <= low.sum():
         return low
+    level = lambda t: np.minimum(high, np.maximum(low, t * share))
     a, b = 0.0, 1.0
-    level = lambda t: {c.cell_id: min(high[c.cell_id], max(low[c.cell_id], t * c.share)) for c in cells}
-    live = sum(high[c.cell_id] for c in cells if c.share > 0) + sum(low[c.cell_id] for c in cells if c.share <= 0)
-    goal = min(goal, live)
-    while sum(level(b).values()) < goal - 1e-6 and b < 1e15:
+    while level(b).sum() < goal - 1e-6 and b < 1e300:
         b *= 2
-    for _ in range(100):
+    for _ in range(200):
         m = (a + b) / 2
-        a, b = (m, b) if sum(level(m).values()) < goal else (a, m)
+        a, b = (m, b) if level(m).sum() < goal else (a, m)
     exact = level(b)
-    whole = {k: float(np.floor(v + 1e-6)) for k, v in exact.items()}
-    rest = int(round(goal - sum(whole.values())))
-    for k in sorted(exact, key=lambda k: whole[k] - exact[k]):  # largest remainders get the last rows
+    whole = np.floor(exact + 1e-6)
+    rest = int(round(goal - whole.sum()))
+    for k in np.lexsort((np.arange(len(exact)), whole - exact)):  # largest remainders get the last rows
         if rest > 0 and whole[k] < high[k]:
             whole[k] += 1
             rest -= 1
     return whole
 
 
+def fit_odds(member: np.ndarray, n: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Inclusion probabilities of signatures (rows of ``member``: signature x cell) whose totals meet the goals.
+
+    Raking, cell after cell, with no probability above 1; where cells don't
+    overlap one round is exact.
+    """
+    pi = np.ones(len(n))
+    for _ in range(500):
+        before = pi.copy()
+        for c in range(member.shape[1]):
+            on = member[:, c]
+            full = on & (pi >= 1)
+            for _ in range(50):  # what is held at 1 leaves the rest to the others
+                free = on & ~full
+                have, want = (n[free] * pi[free]).sum(), goal[c] - n[full].sum()
+                if want < 0:
+                    full[:] = False
+                    pi[on] *= goal[c] / max((n[on] * pi[on]).sum(), EPS)
+                    break
+                if have <= 0:
+                    break
+                pi[free] *= want / have
+                over = free & (pi > 1)
+                if not over.any():
+                    break
+                pi[over] = 1
+                full |= over
+        if np.abs(pi - before).max(initial=0) < 1e-12:
+            break
+    return np.clip(pi, 0, 1)
+
+
+_PLAN_DDL = "draw_id int, cells array<bigint>, goals array<double>, pi double, cell_id bigint, available bigint, need bigint, goal bigint"
+
+
+def _plan_draw(key, cells: pd.DataFrame, sigs: pd.DataFrame) -> pd.DataFrame:
+    """One draw: the goal of every cell and the probability of every signature. Its rows are bounded by the plan, not by the units."""
+    cells = cells.sort_values("cell_id").reset_index(drop=True)
+    sigs = sigs.assign(t=[tuple(c) for c in sigs["cells"]]).sort_values("t").reset_index(drop=True)
+    at = {c: i for i, c in enumerate(cells["cell_id"])}
+    member = np.zeros((len(sigs), len(cells)), bool)
+    for i, cs in enumerate(sigs["t"]):
+        member[i, [at[c] for c in cs if c in at]] = True
+    n = sigs["n"].to_numpy(float)
+    available = (member * n[:, None]).sum(axis=0)
+    goal = np.zeros(len(cells))
+    for _, of in cells.groupby("dim").groups.items():
+        i = np.asarray(of)
+        goal[i] = targets_within(cells["size"][i].max(), cells["share"].to_numpy(float)[i], cells["min_rows"].to_numpy(float)[i], available[i])
+    pi = fit_odds(member, n, goal)
+    none = [None] * len(cells)
+    per_cell = pd.DataFrame({"draw_id": cells["draw_id"], "cells": none, "goals": none, "pi": np.nan, "cell_id": cells["cell_id"], "available": available.astype(np.int64), "need": cells["need"], "goal": goal.astype(np.int64)})
+    per_sig = pd.DataFrame({"draw_id": sigs["draw_id"], "cells": sigs["cells"], "goals": [[float(goal[at[c]]) for c in cs] for cs in sigs["t"]], "pi": pi})
+    return pd.concat([per_cell, per_sig]).astype({"cell_id": "Int64", "available": "Int64", "need": "Int64", "goal": "Int64"})
+
+
 def flight(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Cube flight on the probabilities ``pi`` with constraint rows ``x`` (units x cells).
 
@@ -184,28 +247,41 @@ def flight(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarra
         pi[win] = p + (up if rng.random() < down / (up + down) else -down) * u
 
 
-def _fly(land: bool, seed: int):
+def land(pi: np.ndarray, x: np.ndarray, goals: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """End the open units: constraints are given up one by one, the cheapest first.
+
+    One unit more or less costs a cell the less the greater its goal is, so the
+    cell with the greatest goal goes first; the draw's total (the last column)
+    goes last.
+    """
+    keep = list(np.argsort(goals, kind="stable")) + [x.shape[1] - 1]  # the last of the cells is the cheapest
+    pi = flight(pi, x[:, keep], rng)
+    while ((pi > EPS) & (pi < 1 - EPS)).any():
+        if len(keep) > 1:
+            keep.pop(-2)
+            pi = flight(pi, x[:, keep], rng)
+        else:
+            pi = np.where((pi > EPS) & (pi < 1 - EPS), rng.random(len(pi)) < pi, pi).astype(float)
+    return pi
+
+
+def _fly(last: bool, seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [f for f in frames if len(f)]
         if not got:
             return
         for draw, f in pd.concat(got).groupby("draw_id"):
             f = f.sort_values(["rank_key", "row_id"])
-            ids = sorted({c for cs in f["cells"] for c in cs})
+            goal_of = {c: g for cs, gs in zip(f["cells"], f["goals"]) for c, g in zip(cs, gs)}
+            ids = sorted(goal_of)
             at = {c: i for i, c in enumerate(ids)}
-            x = np.zeros((len(f), len(ids)), np.uint8)
+            x = np.zeros((len(f), len(ids) + 1), np.uint8)
+            x[:, -1] = 1  # the draw's total
             for i, cs in enumerate(f["cells"]):
-                for c in cs:
-                    x[i, at[c]] = 1
+                x[i, [at[c] for c in cs]] = 1
             rng = np.random.default_rng([seed, int(draw), len(f)])
-            pi = flight(f["pi"].to_numpy(float), x, rng)
-            while land and ((pi > EPS) & (pi < 1 - EPS)).any():  # landing: give up one constraint after the other
-                x = x[:, :-1] if x.shape[1] > 1 else np.zeros((len(f), 1), np.uint8)
-                before = pi
-                pi = flight(pi, x, rng)
-                if x.any() or not np.array_equal(before, pi):
-                    continue
-                pi = (rng.random(len(pi)) < pi).astype(float)
+            pi = f["pi"].to_numpy(float)
+            pi = land(pi, x, np.array([goal_of[c] for c in ids]), rng) if last else flight(pi, x, rng)
             pi = np.where(pi >= 1 - EPS, 1.0, np.where(pi <= EPS, 0.0, pi))
             keep = pi > 0
             yield f.assign(pi=pi)[keep]
@@ -218,48 +294,57 @@ def cube_draw(samples: DataFrame, roi_rows: DataFrame, targets: DataFrame, seed:
 
     Returns the sample (draw_id, row_id, cells; row_id is the least sample_id or
     roi_row_id of the drawn unit) and the report (draw_id, cell_id, available,
-    need, goal, drawn, residual, met): ``need`` is the greater of min_rows and
-    the rounded share, ``met`` says if that many units exist at all, ``goal``
-    what the draw's size leaves for the cell, ``residual`` is drawn - goal.
-    Empty tables draw nothing and report every cell with a need as not met.
+    need, goal, drawn, residual, met, enough): ``need`` is the greater of
+    min_rows and the rounded share, ``goal`` what the draw's size leaves for the
+    cell, ``residual`` is drawn - need, ``met`` says if as many as needed were
+    drawn, ``enough`` if as many exist at all. Empty tables draw nothing and
+    report every cell with a need as not met. A rerun draws the same.
     """
-    spark = targets.sparkSession
-    cells = read_cells(targets)
-    units = cut(units_of(samples, roi_rows, cells))
-    counted = units.select("draw_id", F.explode("cells").alias("cell_id")).groupBy("draw_id", "cell_id").agg(F.count("*").alias("n"))
-    available = {r.cell_id: r.n for r in counted.collect()}  # one row a cell
-    goals: dict[int, float] = {}
-    for d in sorted({c.draw_id for c in cells}):
-        goals |= targets_within([c for c in cells if c.draw_id == d], available)
-    odds = [(c.cell_id, goals[c.cell_id] / available[c.cell_id]) for c in cells if available.get(c.cell_id)]
-    ratio = F.create_map(*[F.lit(x) for c, p in odds for x in (c, float(p))]) if odds else F.create_map().cast("map<bigint,double>")
-    ratio = ratio.cast("map<bigint,double>")
-    pi = units.withColumn("pi", F.aggregate("cells", F.lit(1.0), lambda acc, c: F.least(acc, F.element_at(ratio, c))))
-    ranked = pi.where("pi > 0").withColumn("rank_key", F.xxhash64(F.lit(seed), "draw_id", "row_id"))
-    schema = "draw_id int, row_id bigint, cells array<bigint>, pi double, rank_key bigint"
-    # the parts are fixed by the units and the session's number of shuffle partitions, so a rerun draws the same
-    parts = shuffle_width(spark)
-    done, step = None, cut(ranked.repartition(parts, F.pmod("rank_key", F.lit(parts))).mapInPandas(_fly(parts == 1, seed), schema))
-    while parts > 1:
-        sure = step.where("pi = 1.0")
-        done = sure if done is None else done.unionByName(sure)
+    cells = cut(plan_cells(targets))
+    units = cut(classed_units(samples, roi_rows, targets).select("kind", "class", "keys", "row_id"))
+    classes = cut(class_cells(units, cells))
+    sigs = classes.groupBy("draw_id", "cells").agg(F.sum("n").alias("n"))
+    plan = cut(cells.groupBy("draw_id").cogroup(sigs.groupBy("draw_id")).applyInPandas(_plan_draw, _PLAN_DDL))
+    odds = plan.where("cells is not null and pi > 0").select("draw_id", "cells", "goals", "pi")
+    per_class = classes.select("kind", "class", "draw_id", "cells").join(odds, ["draw_id", "cells"])
+    ranked = units.select("kind", "class", "row_id").join(per_class, ["kind", "class"]).withColumn("rank_key", F.xxhash64(F.lit(seed), "draw_id", "row_id"))
+    # the parts follow from the units, so a rerun on another cluster draws the same
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total // UNITS_PER_PART))
+    # first flight: units of one signature have one probability, and moving them in pairs leaves the whole
+    # part of their sum at 1, one unit with the fraction and the others at 0; a hot signature is dealt over all parts
+    same = Window.partitionBy("draw_id", "cells", "part")
+    ranked = ranked.withColumn("part", F.pmod("rank_key", F.lit(parts)).cast("int"))
+    sums = ranked.withColumn("rn", F.row_number().over(same.orderBy("rank_key", "row_id"))).withColumn("s", F.count("*").over(same) * F.col("pi"))
+    whole = F.floor(F.col("s") + EPS)
+    flown = sums.withColumn("pi", F.when(F.col("rn") <= whole, 1.0).when((F.col("rn") == whole + 1) & (F.col("s") - whole > EPS), F.col("s") - whole)).where("pi is not null")
+    cols = ["draw_id", "row_id", "cells", "goals", "pi", "rank_key", "part"]
+    schema = "draw_id int, row_id bigint, cells array<bigint>, goals array<double>, pi double, rank_key bigint, part int"
+    step = cut(flown.select(cols))
+    done = step.where("pi = 1.0")
+    while True:
         parts = -(-parts // FAN_IN)
-        # open units: one per signature and part, so each level is FAN_IN times smaller
-        open_ = step.where("pi < 1.0").repartition(parts, F.pmod("rank_key", F.lit(parts)))
-        step = cut(open_.mapInPandas(_fly(parts == 1, seed), schema))
-    sample = (step if done is None else done.unionByName(step)).where("pi = 1.0").select("draw_id", "row_id", "cells")
-    drawn = sample.select(F.explode("cells").alias("cell_id")).groupBy("cell_id").agg(F.count("*").alias("drawn"))
-    wanted = spark.createDataFrame(
-        [(c.draw_id, c.cell_id, available.get(c.cell_id, 0), c.need, int(goals[c.cell_id])) for c in cells],
-        "draw_id int, cell_id bigint, available bigint, need bigint, goal bigint",
-    )
+        last = parts == 1
+        # open units: at most one per signature and part, so each level is FAN_IN times smaller
+        open_ = step.where("pi < 1.0").withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).repartitionById(parts, F.col("part"))
+        step = cut(open_.mapInPandas(_fly(last, seed), schema))
+        done = done.unionByName(step.where("pi = 1.0"))
+        if last:
+            break
+    sample = done.select("draw_id", "row_id", "cells")
+    drawn = sample.select("draw_id", F.explode("cells").alias("cell_id")).groupBy("draw_id", "cell_id").agg(F.count("*").alias("drawn"))
     report = (
-        wanted.join(drawn, "cell_id", "left")
+        plan.where("cell_id is not null").select("draw_id", "cell_id", "available", "need", "goal")
+        .join(drawn, ["draw_id", "cell_id"], "left")
         .fillna(0, ["drawn"])
-        .select("draw_id", "cell_id", "available", "need", "goal", "drawn", (F.col("drawn") - F.col("goal")).alias("residual"), (F.col("available") >= F.col("need")).alias("met"))
-    )
+        .select(
+            "draw_id", "cell_id", "available", "need", "goal", "drawn", (F.col("drawn") - F.col("need")).alias("residual"),
+            (F.col("drawn") >= F.col("need")).alias("met"), (F.col("available") >= F.col("need")).alias("enough"),
+        )
+    )
     return sample, report
 
 
 def unmet(report: DataFrame) -> DataFrame:
-    return report.where("not met").select("draw_id", "cell_id")
+    """The cells that cannot be met: fewer units exist than they need."""
+    return report.where("not enough").select("draw_id", "cell_id")

@@ -58,6 +58,9 @@ ORACLES: dict[str, str] = {
     "p4_ledger": _P4_LEDGER,
     "p1_found": _P1 + " SELECT patch_id, group_no FROM g WHERE group_no IS NOT NULL AND patient_id IS DISTINCT FROM 'P_' || CASE WHEN length(CAST(group_no AS VARCHAR)) >= 5 THEN CAST(group_no AS VARCHAR) ELSE lpad(CAST(group_no AS VARCHAR), 5, '0') END",
     "p2_found": _P2 + " SELECT draw_id, cell_id FROM need JOIN have USING (cell_id) WHERE have.n < need.n",
+    "p2_available": _P2 + " SELECT draw_id, cell_id, coalesce(have.n, 0) AS available, need.n AS need, coalesce(have.n, 0) >= need.n AS enough FROM need LEFT JOIN have USING (cell_id)",
+    "p2_drawn": _P2 + """, per AS (SELECT draw_id, max(draw_size) AS size, sum(least(min_rows, have.n)) AS low, sum(have.n) AS live FROM need JOIN have USING (cell_id) WHERE roi_name IS NULL GROUP BY draw_id)
+ SELECT draw_id, CAST(greatest(low, least(size, live)) AS BIGINT) AS n_sampled, 0 AS n_differ, 0 AS n_off_goal FROM per""",
     "p4_sample": _P4 + " SELECT case_name, first_release, seq, block_no FROM picked WHERE chosen",
     "p4_growth": _P4 + " SELECT first_release, count(*) AS n_cases, count(*) FILTER (WHERE chosen) AS n_chosen FROM picked GROUP BY first_release",
     "p5_found": f"""WITH {_FILM}, a AS (SELECT * FROM f WHERE task LIKE '%Test'), b AS (SELECT * FROM f WHERE task LIKE '%Training')

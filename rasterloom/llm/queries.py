@@ -39,6 +39,20 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d)[1]
 
 
+def p2_available(spark: SparkSession, d: str) -> DataFrame:
+    """What every cell needs and has, of the report of the draws."""
+    return _p2(spark, d)[1].select("draw_id", "cell_id", "available", "need", "enough")
+
+
+def p2_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the sample per cell of the draws whose cells do not overlap: what the report's goals say, drawn exactly."""
+    sample, report = _p2(spark, d)
+    per = sample.select("draw_id", F.explode("cells").alias("cell_id")).groupBy("draw_id", "cell_id").agg(F.count("*").alias("n_sampled"))
+    films = table(spark, d, "draw_targets").where("roi_name is null").select("draw_id", "cell_id")
+    both = report.join(films, ["draw_id", "cell_id"], "left_semi").join(per, ["draw_id", "cell_id"], "left").fillna(0, ["n_sampled"])
+    return both.groupBy("draw_id").agg(F.sum("n_sampled").alias("n_sampled"), F.count_if(F.col("n_sampled") != F.col("drawn")).alias("n_differ"), F.count_if(F.col("n_sampled") != F.col("goal")).alias("n_off_goal"))
+
+
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d)[0].select("draw_id", "row_id")
 
@@ -105,7 +119,7 @@ def p8_boilerplate(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     p1_found, p1_splits, p1_report,
-    p2_found, p2_report, p2_sample,
+    p2_found, p2_report, p2_available, p2_drawn, p2_sample,
     p4_sample, p4_growth, p4_ledger,
     p5_found, p5_report,
     p6_ids,

@@ -21,9 +21,11 @@ from rasterloom.llm.graph import connected_components
 from rasterloom.session import cut
 
 #: Bins that the components are balanced over; shares are met to about 1 / BINS.
-BINS = 40
-#: Components that one task balances; only BINS sums per task reach the driver.
-COMPONENTS_PER_TASK = 50_000
+BINS = 100
+#: Components that one part balances.
+COMPONENTS_PER_PART = 20_000
+#: Parts whose bins one task of the next level merges.
+FAN_IN = 64
 
 
 def record_groups(records: DataFrame) -> DataFrame:
@@ -123,18 +125,33 @@ def largest_differencing(weights: list[tuple[float, ...]]) -> tuple[list[float],
 
 
 def _balance(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One partition's components over BINS bins, by largest differencing."""
+    """The components of each part over BINS bins, by largest differencing."""
     got = [f for f in frames if len(f)]
     if not got:
         return
-    f = pd.concat(got).sort_values(["n", "group_key"], ascending=[False, True])
     zeros = (0.0,) * (BINS - 1)
-    _, place = largest_differencing([(float(n), *zeros) for n in f["n"]])
-    yield pd.DataFrame({"part": f["part"], "group_key": f["group_key"], "n": f["n"], "slot": [p[0] for p in place]})
+    for part, f in pd.concat(got).groupby("part"):
+        f = f.sort_values(["n", "group_key"], ascending=[False, True])
+        _, place = largest_differencing([(float(n), *zeros) for n in f["n"]])
+        yield pd.DataFrame({"part": part, "group_key": f["group_key"], "n": f["n"], "slot": [p[0] for p in place]})
+
+
+def _merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bins of up to FAN_IN parts merged into one part's bins: where every slot of every part went."""
+    got = [f for f in frames if len(f)]
+    if not got:
+        return
+    for up, f in pd.concat(got).groupby("up"):
+        sums: dict[int, list[float]] = {}
+        for part, slot, n in zip(f["part"], f["slot"], f["n"]):
+            sums.setdefault(part, [0.0] * BINS)[slot] = float(n)
+        parts = sorted(sums)
+        _, place = largest_differencing([tuple(sums[p]) for p in parts])
+        yield pd.DataFrame([(up, p, s, place[i][s], int(sums[p][s])) for i, p in enumerate(parts) for s in range(BINS) if sums[p][s]], columns=["up", "part", "slot", "up_slot", "n"])
 
 
 def allocate_bins(sums: list[float], shares: list[tuple[str, float]]) -> list[str]:
-    """Whole bins to splits: heaviest bin first, to the split that lacks most rows."""
+    """Whole bins to splits: heaviest bin first, to the split that lacks most rows; then bins change splits while that brings the shares nearer."""
     total = sum(sums) or 1.0
     whole = sum(s for _, s in shares) or 1.0
     lack = {name: total * share / whole for name, share in shares}
@@ -143,43 +160,70 @@ def allocate_bins(sums: list[float], shares: list[tuple[str, float]]) -> list[st
         name = max(lack, key=lambda x: lack[x])
         out[b] = name
         lack[name] -= sums[b]
-    return out
+    while True:
+        best = (1e-9, None)
+        for b, n in enumerate(sums):
+            mine = out[b]
+            for name in lack:
+                if name != mine:  # move bin b
+                    gain = lack[mine] ** 2 + lack[name] ** 2 - (lack[mine] + n) ** 2 - (lack[name] - n) ** 2
+                    best = max(best, (gain, (b, name, None)), key=lambda x: x[0])
+            for c in range(b + 1, len(sums)):  # or swap it with bin c
+                d = n - sums[c]
+                if out[c] != mine and d:
+                    gain = lack[mine] ** 2 + lack[out[c]] ** 2 - (lack[mine] + d) ** 2 - (lack[out[c]] - d) ** 2
+                    best = max(best, (gain, (b, out[c], c)), key=lambda x: x[0])
+        if best[1] is None:
+            return out
+        b, name, c = best[1]
+        d = sums[b] - (0 if c is None else sums[c])
+        lack[out[b]] += d
+        lack[name] -= d
+        if c is not None:
+            out[c] = out[b]
+        out[b] = name
 
 
 def assign_splits(groups: DataFrame, plan: list[tuple[str, float]]) -> DataFrame:
     """Give every component, and so every record, one split.
 
-    Components are spread over tasks by hash, each task balances its own over
-    BINS bins, and the tasks' bin sums (BINS numbers each) are merged by the same
-    method on the driver. A component heavier than a bin keeps its bin to itself
-    and the plan's shares are then met as well as whole components allow.
+    Components are dealt by hash to parts of about COMPONENTS_PER_PART, each part
+    balances its own over BINS bins, and the bins of FAN_IN parts at a time are
+    merged upward by the same method until one set of bins is left; only its BINS
+    sums reach the driver, which allocates whole bins. The way back down is a
+    join per level. A component heavier than a bin keeps its bin to itself and
+    the plan's shares are then met as well as whole components allow. An empty
+    plan gives null splits.
     Returns ``patch_id``, ``group_key``, ``split_name``.
     """
-    sizes = cut(groups.groupBy("group_key").agg(F.count("*").alias("n")))
-    tasks = max(1, -(-sizes.count() // COMPONENTS_PER_TASK))
-    parted = sizes.withColumn("part", F.pmod(F.xxhash64("group_key"), F.lit(tasks)).cast("int")).repartition(tasks, "part")
-    # several parts may meet in one task; they are then balanced together, under the least part
-    placed = cut(
-        parted.withColumn("part", F.spark_partition_id()).mapInPandas(_balance, "part int, group_key string, n long, slot int")
-    )
-    sums = {}
-    for r in placed.groupBy("part", "slot").agg(F.sum("n").alias("n")).collect():  # tasks x BINS rows
-        sums.setdefault(r.part, [0.0] * BINS)[r.slot] = float(r.n)
-    if not sums:
-        return groups.select("patch_id", "group_key", F.lit(None).cast("string").alias("split_name"))
-    parts = sorted(sums)
-    total, place = largest_differencing([tuple(sums[p]) for p in parts])
-    split = allocate_bins(total, plan)
-    rows = [(p, s, split[place[i][s]]) for i, p in enumerate(parts) for s in range(BINS)]
     spark = groups.sparkSession
-    lookup = spark.createDataFrame(rows, "part int, slot int, split_name string")
-    by_group = placed.join(F.broadcast(lookup), ["part", "slot"]).select("group_key", "split_name")  # lookup: tasks x BINS rows
+    sizes = cut(groups.groupBy("group_key").agg(F.count("*").alias("n")))
+    n_parts = max(1, -(-sizes.count() // COMPONENTS_PER_PART))
+    parted = sizes.withColumn("part", F.pmod(F.xxhash64("group_key"), F.lit(n_parts)).cast("int")).repartitionById(n_parts, F.col("part"))
+    placed = cut(parted.mapInPandas(_balance, "part int, group_key string, n long, slot int"))
+    level = placed.groupBy("part", "slot").agg(F.sum("n").alias("n"))
+    ways = []
+    while n_parts > 1:
+        n_parts = -(-n_parts // FAN_IN)
+        up = level.withColumn("up", F.floor(F.col("part") / FAN_IN).cast("int")).repartitionById(n_parts, F.col("up"))
+        way = cut(up.mapInPandas(_merge, "up int, part int, slot int, up_slot int, n long"))
+        ways.append(way)
+        level = way.groupBy(F.col("up").alias("part"), F.col("up_slot").alias("slot")).agg(F.sum("n").alias("n"))
+    sums = [0.0] * BINS
+    for r in level.collect():  # one part: BINS rows
+        sums[r.slot] = float(r.n)
+    names = allocate_bins(sums, plan) if plan else [None] * BINS
+    split = spark.createDataFrame(list(enumerate(names)), "slot int, split_name string").withColumn("part", F.lit(0))
+    for way in reversed(ways):
+        top = split.select(F.col("part").alias("up"), F.col("slot").alias("up_slot"), "split_name")
+        split = way.join(top, ["up", "up_slot"]).select("part", "slot", "split_name")
+    by_group = placed.join(split, ["part", "slot"]).select("group_key", "split_name")
     return groups.select("patch_id", "group_key").join(by_group, "group_key")
 
 
 def read_plan(split_plan: DataFrame) -> list[tuple[str, float]]:
-    """The plan's few rows; rows without a name or share are left out."""
-    return [(r.split_name, float(r.share)) for r in split_plan.where("split_name is not null and share is not null").orderBy("split_name").limit(1000).collect()]
+    """The plan's rows, in the order of their names; rows without a name or share are left out."""
+    return [(r.split_name, float(r.share)) for r in split_plan.where("split_name is not null and share is not null").orderBy("split_name").collect()]
 
 
 def split_report(assigned: DataFrame, split_plan: DataFrame) -> DataFrame:

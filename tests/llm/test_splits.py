@@ -76,6 +76,25 @@ def test_assignment_keeps_groups_and_shares(spark):
     assert rows(a, "patch_id", "split_name") == rows(S.assign_splits(g.repartition(7), S.read_plan(plan)), "patch_id", "split_name")
 
 
+@pytest.mark.parametrize("per_part", [40, 7])
+def test_parts_merge_upward(spark, monkeypatch, per_part):
+    monkeypatch.setattr(S, "COMPONENTS_PER_PART", per_part)
+    monkeypatch.setattr(S, "FAN_IN", 3)
+    r = random.Random(2)
+    g = spark.createDataFrame([(k, f"P{k % r.randrange(1, 120)}") for k in range(4000)], "patch_id bigint, group_key string")
+    plan = [("test", 0.15), ("train", 0.7), ("validation", 0.15)]
+    a = S.assign_splits(g, plan)
+    assert a.count() == 4000 and a.where("split_name is null").count() == 0
+    assert a.groupBy("group_key").agg(F.countDistinct("split_name").alias("n")).where("n > 1").count() == 0
+    got = {x.split_name: x["count"] / 4000 for x in a.groupBy("split_name").count().collect()}
+    assert all(abs(got[k] - v) < 0.02 for k, v in plan)
+
+
+def test_empty_plan(spark):
+    g = spark.createDataFrame([(1, "P1")], "patch_id bigint, group_key string")
+    assert rows(S.assign_splits(g, []), "patch_id", "split_name") == [(1, None)]
+
+
 def test_empty(spark):
     g = S.record_groups(spark.createDataFrame([], DDL))
     assert S.assign_splits(g, [("train", 1.0)]).count() == 0 and S.contradictions(g).count() == 0

@@ -1,12 +1,15 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Every document is cut into windows of PASSAGE words. Item windows are indexed by
-the hashes of their word pairs without each one of the pairs in turn: windows
-that reach MIN_SIMILARITY agree in at least one of these keys, so none is missed.
-The exact weighted shingle similarity verifies the candidates, and a word-by-word
-comparison tells exact passages. Fingerprints within RADIUS bits (candidates)
-can be looked up besides; the search does not use them, as near windows differ
-in more bits.
+Every document and every item is cut into windows of PASSAGE words, the shortest
+passage that counts. Windows have SimHash fingerprints; a multi-index over
+BLOCKS blocks of the items' fingerprints gives all item windows within RADIUS
+bits, the exact weighted shingle similarity verifies them, and a word-by-word
+comparison tells exact passages. Windows that are near (MIN_SIMILARITY) but not
+equal differ in about nine bits, more than any multi-index can guarantee at a
+useful cost; they meet in the hashes of their word pairs without each one of the
+pairs in turn (deletion keys), which windows of that similarity have in common,
+so none is missed. How much of an item leaked is the share of its words inside
+matched windows.
 """
 
 from __future__ import annotations
@@ -30,8 +33,12 @@ MIN_SIMILARITY = 0.8
 #: Weights of single words and of word pairs in fingerprint and similarity.
 WORD_WEIGHT, PAIR_WEIGHT = 1, 2
 assert PASSAGE * WORD_WEIGHT + (PASSAGE - 1) * PAIR_WEIGHT < 128
-#: Item words that are broadcast at once; a longer set of items is searched in blocks.
+#: Words of the items of one index, and indexes that one pass over the corpus probes:
+#: the text is cut and fingerprinted once for all of them.
 ITEM_WORDS = 400_000
+INDEXES = 8
+#: Share of an item's words in matched windows from which the item counts as leaked as a whole.
+WHOLE_ITEM = 0.8
 #: Words fingerprinted at once.
 CHUNK_WORDS = 60_000
 
@@ -118,6 +125,8 @@ class ItemIndex:
         inside = owner[at] == owner[at + PASSAGE - 1] if len(fp) else np.zeros(0, bool)
         self.at, self.fp = at[inside], fp[inside]
         self.item = owner[self.at] if len(self.at) else np.zeros(0, np.int64)
+        self.size = np.bincount(owner, minlength=len(items)).astype(np.int64) if len(owner) else np.zeros(len(items), np.int64)
+        self.begin = np.cumsum(self.size) - self.size
         keys = deletion_keys(self.h, self.at) if len(self.at) else np.zeros((0, PASSAGE - 1), np.uint64)
         entries = np.stack((keys.ravel(), np.repeat(np.arange(len(keys), dtype=np.uint64), PASSAGE - 1)))
         self.keys, self.window = np.unique(entries, axis=1)
@@ -139,9 +148,12 @@ class ItemIndex:
             who = np.repeat(np.arange(len(fp)), n)
             mine = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
             near = np.bitwise_count(fp[who] ^ self.fp[mine]) <= RADIUS
-            found.append(np.stack((who[near], mine[near])))
-        return tuple(np.unique(np.concatenate(found, axis=1), axis=1)) if found else (np.zeros(0, int), np.zeros(0, int))
+            found.append(who[near] * len(self.fp) + mine[near])
+        return self._once(np.concatenate(found))
 
+    def _once(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item window) of pair numbers, each once."""
+        return np.divmod(np.unique(pairs), max(len(self.fp), 1))
 
     def near(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item window) pairs with a deletion key in common."""
@@ -150,7 +162,7 @@ class ItemIndex:
         lo = np.searchsorted(self.keys, v)
         n = np.searchsorted(self.keys, v, "right") - lo
         mine = self.window[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        return tuple(np.unique(np.stack((np.repeat(who, n), mine)), axis=1))
+        return self._once(np.repeat(who, n) * len(self.fp) + mine)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,29 +179,54 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both / (whole - both)
 
 
-def search(texts: list[str | None], index: ItemIndex) -> pd.DataFrame:
-    """Per text and item with a near window: doc (position), item, best similarity, whether a passage is exact."""
+def _covered(positions: np.ndarray) -> int:
+    """Words inside windows that start at the positions."""
+    at = np.unique(positions)
+    return int(np.minimum(np.diff(at, append=at[-1] + PASSAGE), PASSAGE).sum())
+
+
+HITS = {"doc": [], "item_id": [], "similarity": [], "exact": [], "covered": []}
+
+
+def search(texts: list[str | None], indexes: list[ItemIndex], near: bool = True) -> pd.DataFrame:
+    """Per text and item with a matched window: doc (position), item_id, best similarity, whether a passage is exact, covered share of the item.
+
+    Fingerprints within RADIUS are always looked up; with ``near`` also the
+    deletion keys, which find every window of MIN_SIMILARITY.
+    """
     h, owner = word_hashes([words(t) for t in texts])
     parts = []
     for a in range(0, max(len(h) - PASSAGE + 1, 0), CHUNK_WORDS):
         piece = h[a : a + CHUNK_WORDS + PASSAGE - 1]
         at = np.arange(a, a + len(piece) - PASSAGE + 1)
-        at = at[owner[at] == owner[at + PASSAGE - 1]]
+        inside = owner[at] == owner[at + PASSAGE - 1]
+        at = at[inside]
         if not len(at):
             continue
-        who, mine = index.near(deletion_keys(piece, at - a))
-        for b in range(0, len(who), 20_000):
-            w, m = at[who[b : b + 20_000]], index.at[mine[b : b + 20_000]]
-            span = np.arange(PASSAGE)
-            x, y = h[w[:, None] + span], index.h[m[:, None] + span]
-            exact = (x == y).all(1)
-            sim = np.ones(len(w))
-            sim[~exact] = similarity(x[~exact], y[~exact])
-            keep = sim >= MIN_SIMILARITY
-            parts.append(pd.DataFrame({"doc": owner[w[keep]], "item_id": index.ids[index.item[mine[b : b + 20_000]][keep]], "similarity": sim[keep], "exact": exact[keep]}))
-    if not parts:
-        return pd.DataFrame({"doc": [], "item_id": [], "similarity": [], "exact": []})
-    return pd.concat(parts).groupby(["doc", "item_id"], as_index=False).agg(similarity=("similarity", "max"), exact=("exact", "max"))
+        fp = window_fingerprints(piece)[inside]
+        keys = deletion_keys(piece, at - a) if near else None
+        for k, index in enumerate(indexes):
+            who, mine = index.candidates(fp)
+            if near:
+                more, other = index.near(keys)
+                who, mine = index._once(np.concatenate((who, more)) * len(index.fp) + np.concatenate((mine, other)))
+            for b in range(0, len(who), 20_000):
+                w, m = at[who[b : b + 20_000]], index.at[mine[b : b + 20_000]]
+                span = np.arange(PASSAGE)
+                x, y = h[w[:, None] + span], index.h[m[:, None] + span]
+                exact = (x == y).all(1)
+                sim = np.ones(len(w))
+                sim[~exact] = similarity(x[~exact], y[~exact])
+                keep = sim >= MIN_SIMILARITY
+                item = index.item[mine[b : b + 20_000]][keep]
+                parts.append(pd.DataFrame({"doc": owner[w[keep]], "index": k, "item": item, "similarity": sim[keep], "exact": exact[keep], "place": m[keep] - index.begin[item]}))
+    if not parts or not sum(map(len, parts)):
+        return pd.DataFrame(HITS)
+    got = pd.concat(parts).groupby(["doc", "index", "item"], as_index=False).agg(similarity=("similarity", "max"), exact=("exact", "max"), covered=("place", lambda p: _covered(p.to_numpy())))
+    of = [indexes[k] for k in got["index"]]
+    got["covered"] /= [x.size[i] for x, i in zip(of, got["item"])]
+    got["item_id"] = [x.ids[i] for x, i in zip(of, got["item"])]
+    return got[list(HITS)]
 
 
 def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -205,29 +242,34 @@ def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, exact of all documents with a near passage of an item.
+LEAKS_DDL = "doc_id bigint, item_id bigint, similarity double, exact boolean, covered double"
+
+
+def leaks(docs: DataFrame, items: DataFrame, near: bool = True) -> DataFrame:
+    """doc_id, item_id, similarity, exact, covered of all documents with a matched passage of an item.
 
-    The items are a stated query set; they are searched block by block (each a
-    broadcast of bounded size) in whole texts of all documents, without a
-    shuffle. Items and texts of fewer than PASSAGE words leak nothing, nor do
-    null and empty ones. ``exact``: PASSAGE consecutive words are the same.
+    The items are a stated query set; their indexes (each a broadcast of bounded
+    size, INDEXES of them to a pass) are probed by whole texts of all documents,
+    without a shuffle. Items and texts of fewer than PASSAGE words leak nothing,
+    nor do null and empty ones. ``exact``: PASSAGE consecutive words are the
+    same; ``covered``: the share of the item's words in matched windows.
     """
     sc = docs.sparkSession.sparkContext
     cols = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    out = docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, similarity double, exact boolean")
-    for n, block in enumerate(_item_blocks(items)):
-        index = sc.broadcast(ItemIndex(block))
+    out = docs.sparkSession.createDataFrame([], LEAKS_DDL)
+    blocks = [sc.broadcast(ItemIndex(block)) for block in _item_blocks(items)]
+    for n in range(0, len(blocks), INDEXES):
 
-        def run(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame], some=blocks[n : n + INDEXES]) -> Iterator[pd.DataFrame]:
+            indexes = [b.value for b in some]
             for f in frames:
                 for a in range(0, len(f), 500):
                     ids = f["doc_id"].to_numpy()[a : a + 500]
-                    hit = search(list(f["text"].iloc[a : a + 500]), index.value)
+                    hit = search(list(f["text"].iloc[a : a + 500]), indexes, near)
                     if len(hit):
-                        yield pd.DataFrame({"doc_id": ids[hit["doc"].to_numpy(int)], "item_id": hit["item_id"].astype("int64"), "similarity": hit["similarity"], "exact": hit["exact"].astype(bool)})
+                        yield hit.assign(doc_id=ids[hit["doc"].to_numpy(int)]).astype({"item_id": "int64", "exact": bool})[["doc_id", "item_id", "similarity", "exact", "covered"]]
 
-        found = cols.mapInPandas(run, "doc_id bigint, item_id bigint, similarity double, exact boolean")
+        found = cols.mapInPandas(run, LEAKS_DDL)
         out = found if n == 0 else out.unionByName(found)
     return out
 
@@ -238,6 +280,7 @@ def leaked(found: DataFrame) -> DataFrame:
 
 
 def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:
-    """Per item: documents with an exact and with a near passage."""
-    per = found.groupBy("item_id").agg(F.countDistinct(F.when(F.col("exact"), F.col("doc_id"))).alias("n_docs"), F.countDistinct("doc_id").alias("n_near_docs"))
-    return items.select("item_id", "split_name").join(per, "item_id", "left").fillna(0, ["n_docs", "n_near_docs"])
+    """Per item: documents with an exact passage, with a near one, and with (nearly) the whole item; null ids have none."""
+    docs = lambda cond: F.countDistinct(F.when(cond, F.col("doc_id")))
+    per = found.groupBy("item_id").agg(docs(F.col("exact")).alias("n_docs"), docs(F.lit(True)).alias("n_near_docs"), docs(F.col("covered") >= WHOLE_ITEM).alias("n_whole_docs"))
+    return items.select("item_id", "split_name").join(per, "item_id", "left").fillna(0, ["n_docs", "n_near_docs", "n_whole_docs"])

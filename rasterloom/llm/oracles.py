@@ -54,6 +54,10 @@ _P4_LEDGER = f"""WITH {_FILM.replace('release_no, thumb', 'release_no, received_
  ac AS (SELECT *, CAST('0x' || m[1:8] AS BIGINT) % 100 + 1 AS a, CAST('0x' || m[9:16] AS BIGINT) % 101 AS c FROM h)
  SELECT case_name, first_release, seq, block_no, CAST(delivery AS INTEGER) AS delivery FROM ac WHERE EXISTS (SELECT 1 FROM range(10) t(i) WHERE (a * i + c) % 101 = seq % 101)"""
 
+_P7 = r"""WITH w AS (SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items),
+ g AS (SELECT DISTINCT kind, id, array_to_string(ws[i:i + 9], ' ') AS t FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 8)) AS i FROM w WHERE len(ws) >= 10)),
+ hits AS (SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM g d JOIN g e ON d.t = e.t WHERE d.kind = 0 AND e.kind = 1)"""
+
 ORACLES: dict[str, str] = {
     "p4_ledger": _P4_LEDGER,
     "p1_found": _P1 + " SELECT patch_id, group_no FROM g WHERE group_no IS NOT NULL AND patient_id IS DISTINCT FROM 'P_' || CASE WHEN length(CAST(group_no AS VARCHAR)) >= 5 THEN CAST(group_no AS VARCHAR) ELSE lpad(CAST(group_no AS VARCHAR), 5, '0') END",
@@ -72,7 +76,6 @@ ORACLES: dict[str, str] = {
  hit AS (SELECT t AS sample_id, count(*) AS n FROM p GROUP BY t UNION ALL SELECT r, count(*) FROM p GROUP BY r)
  SELECT CASE WHEN task LIKE '%Test' THEN 'Test' ELSE 'Training' END AS split_name, source, count(*) AS n_rows, count(n) AS n_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs
  FROM f LEFT JOIN hit USING (sample_id) WHERE task IS NOT NULL GROUP BY 1, 2""",
-    "p7_found": r"""WITH w AS (SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM eval_items),
- g AS (SELECT DISTINCT kind, id, array_to_string(ws[i:i + 9], ' ') AS t FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 8)) AS i FROM w WHERE len(ws) >= 10))
- SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM g d JOIN g e ON d.t = e.t WHERE d.kind = 0 AND e.kind = 1""",
+    "p7_found": _P7 + " SELECT doc_id, item_id FROM hits",
+    "p7_items": _P7 + " SELECT item_id, split_name, count(doc_id) AS n_docs FROM eval_items LEFT JOIN hits USING (item_id) GROUP BY item_id, split_name",
 }

@@ -90,16 +90,19 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"))
 
 
-def _p7(spark: SparkSession, d: str) -> DataFrame:
-    return leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-
-
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leak.leaked(_p7(spark, d))
+    return leak.leaked(leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), near=False))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return leak.leak_report(_p7(spark, d), table(spark, d, "eval_items"))
+    items = table(spark, d, "eval_items")
+    return leak.leak_report(leak.leaks(table(spark, d, "documents"), items), items)
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: documents with an exact passage."""
+    items = table(spark, d, "eval_items")
+    return leak.leak_report(leak.leaks(table(spark, d, "documents"), items, near=False), items).select("item_id", "split_name", "n_docs")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +126,7 @@ _ALL = (
     p4_sample, p4_growth, p4_ledger,
     p5_found, p5_report,
     p6_ids,
-    p7_found, p7_report,
+    p7_found, p7_report, p7_items,
     p8_found, p8_report, p8_boilerplate,
 )
 QUERIES = {f.__name__: f for f in _ALL}

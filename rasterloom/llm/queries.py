@@ -110,9 +110,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by kind of evidence and source."""
+    """Documents by kind of evidence and host."""
     docs = table(spark, d, "documents")
-    return residue.residue(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "kind").agg(F.count("*").alias("n_docs"))
+    hosts = docs.select("doc_id", F.expr(residue.HOST).alias("host"))
+    return residue.residue(docs).join(hosts, "doc_id").groupBy("host", "kind").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 def p8_boilerplate(spark: SparkSession, d: str) -> DataFrame:

@@ -1,22 +1,18 @@
-"""Every line with evidence is in a text that worth_reading lets through."""
-
-from pyspark.sql import functions as F
+"""The search over a whole document lets every line with evidence through."""
 
 from rasterloom.llm import residue as R
-from tests.conftest import rows
-from tests.llm.test_residue import CASES, OTHERS
+from tests.llm.test_residue import CASES, OTHERS, UNSEEN
 
 LONG = "http://a.example/" + "x" * 60
 TEXTS = [
     "Error 404\nNothing here", "Error 404\r\nNothing here", f'The page you requested "{LONG}" could not be found', f"The page you requested `{LONG}` cannot be shown", f"Sample text „{LONG}“ please replace",
-    f"Could not connect «{LONG}» database", "the <code>x</code> page you requested could not be found", 'The page you requested "a\nb" could not be found', "{{ `{}` }}", "a\n    {{ x }}\nFehler 500\nb",
+    f"Could not connect «{LONG}» database", "the <code>x</code> page you requested could not be found", 'The page you requested "a\nb" could not be found', "{{ `{}` }}", "a\n    {{ x }}\nFehler 500\nb", "Error   code :\t404", "The   page you\nasked",
 ]
 
 
-def test_superset(spark):
-    texts = [t for t in [*TEXTS, *CASES, *OTHERS] if t]
-    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
-    held = {r[0] for r in rows(R.document_lines(df).where(R.evidence_kind(F.col("line")).isNotNull()), "doc_id")}
-    worth = {r[0] for r in rows(df.where(R.worth_reading(F.col("text"))), "doc_id")}
-    assert {texts[i] for i in held - worth} == set()
-    assert set(range(len(TEXTS))) <= held
+def test_superset():
+    r = R.reader()
+    for t in [*TEXTS, *CASES, *OTHERS, *UNSEEN]:
+        lines = R.masked_lines(t or "")
+        assert r.evidence(lines) == [(i, k) for i, x in enumerate(lines) if (k := r.kind(x))], t
+    assert all(r.evidence(R.masked_lines(t)) for t in TEXTS[:-2] if t != "{{ `{}` }}")

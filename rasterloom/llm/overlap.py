@@ -119,8 +119,8 @@ def near_thumbs(films: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Equal thumbnails are one class (thumb_no is its least row), so copies are
     hashed and compared once. Returns pairs (test_no, train_no, jaccard,
-    difference), each class with itself included, and members (sample_id,
-    is_test, thumb_no).
+    difference), each class with itself included, and all rows as members
+    (sample_id, is_test, source, film, thumb_no; null thumb_no without a thumb).
     """
     with_thumb = films.where("thumb is not null").select("sample_id", "is_test", "thumb", F.xxhash64("thumb").alias("h"))
     classes = cut(
@@ -128,7 +128,12 @@ def near_thumbs(films: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.min("sample_id").alias("thumb_no"), F.max("is_test").alias("in_test"), F.min("is_test").alias("all_test")
         ).select("h", "thumb", "thumb_no", "in_test", (~F.col("all_test")).alias("in_train"))
     )
-    members = with_thumb.join(classes.select("h", "thumb", "thumb_no"), ["h", "thumb"]).select("sample_id", "is_test", "thumb_no")
+    film = F.when(F.col("f_patient").isNotNull() & F.col("f_side").isNotNull() & F.col("f_view").isNotNull(), F.concat_ws("|", "f_patient", "f_side", "f_view"))
+    members = (
+        films.select("sample_id", "is_test", "source", film.alias("film"), "thumb", F.xxhash64("thumb").alias("h"))
+        .join(classes.select("h", "thumb", "thumb_no"), ["h", "thumb"], "left")
+        .select("sample_id", "is_test", "source", "film", "thumb_no")
+    )
     # the buckets of the two splits meet in the join, so only cross-split candidates ever exist;
     # each side is shuffled once, and a hot bucket is split by AQE
     candidates = (
@@ -159,6 +164,7 @@ def near_thumbs(films: DataFrame) -> tuple[DataFrame, DataFrame]:
 def cross_split_pairs(films: DataFrame) -> DataFrame:
     """All overlapping (test_id, train_id) row pairs, each once. Empty for an empty table."""
     pairs, members = near_thumbs(films)
+    members = members.where("thumb_no is not null")
     near = (
         pairs.join(members.where("is_test").select(F.col("thumb_no").alias("test_no"), F.col("sample_id").alias("test_id")), "test_no")
         .join(members.where("not is_test").select(F.col("thumb_no").alias("train_no"), F.col("sample_id").alias("train_id")), "train_no")
@@ -171,12 +177,35 @@ def found_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("test_id", "train_id").alias("sample_id_a"), F.greatest("test_id", "train_id").alias("sample_id_b"))
 
 
-def overlap_report(films: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per split and source: rows, rows with a partner in the other split, and pairs."""
-    hit = pairs.groupBy(F.col("test_id").alias("sample_id")).agg(F.count("*").alias("n")).unionByName(pairs.groupBy(F.col("train_id").alias("sample_id")).agg(F.count("*").alias("n")))
-    return (
-        films.select("sample_id", "source", F.when(F.col("is_test"), "Test").otherwise("Training").alias("split_name"))
-        .join(hit, "sample_id", "left")
-        .groupBy("split_name", "source")
-        .agg(F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+def overlap_report(films: DataFrame) -> DataFrame:
+    """Per split and source: rows, rows with a partner in the other split, and pairs.
+
+    Pairs are counted, never listed: a row's partners are those of near thumbs
+    (sizes of the classes its class is near to) and those of the same film (rows
+    of its patient, side and view in the other split), less those that are both.
+    Null sources are one source;
+    exact repetitions of a row count once. Empty for an empty table.
+    """
+    pairs, members = near_thumbs(films)
+    pairs = cut(pairs.select("test_no", "train_no"))
+    # rows of one class, film, source and split are alike, so the rest of the work is on their counts
+    alike = cut(members.distinct().groupBy("is_test", "source", "film", "thumb_no").agg(F.count("*").alias("rows")))
+    both_ways = pairs.select(F.lit(True).alias("is_test"), F.col("test_no").alias("thumb_no"), F.col("train_no").alias("other_no")).unionByName(
+        pairs.select(F.lit(False).alias("is_test"), F.col("train_no").alias("thumb_no"), F.col("test_no").alias("other_no"))
     )
+    other = lambda *by: alike.where(" and ".join(f"{c} is not null" for c in by)).groupBy((~F.col("is_test")).alias("is_test"), *by).agg(F.sum("rows").alias("n"))
+    sizes = other("thumb_no").withColumnRenamed("thumb_no", "other_no")
+    near = both_ways.join(sizes, ["is_test", "other_no"]).groupBy("is_test", "thumb_no").agg(F.sum("n").alias("near"))
+    same = other("film").withColumnRenamed("n", "same")
+    both = (
+        alike.where("film is not null and thumb_no is not null").select("is_test", "film", "thumb_no").distinct()
+        .join(both_ways, ["is_test", "thumb_no"])
+        .join(other("film", "thumb_no").withColumnRenamed("thumb_no", "other_no"), ["is_test", "film", "other_no"])
+        .groupBy("is_test", "film", "thumb_no").agg(F.sum("n").alias("both"))
+    )
+    n = F.coalesce("near", F.lit(0)) + F.coalesce("same", F.lit(0)) - F.coalesce("both", F.lit(0))
+    got = alike.join(near, ["is_test", "thumb_no"], "left").join(same, ["is_test", "film"], "left").join(both, ["is_test", "film", "thumb_no"], "left").withColumn("n", n)
+    return (
+        got.groupBy(F.when(F.col("is_test"), "Test").otherwise("Training").alias("split_name"), "source")
+        .agg(F.sum("rows").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("rows"))), F.lit(0)).alias("n_overlapping"), F.sum(F.col("rows") * F.col("n")).alias("n_pairs"))
+    )

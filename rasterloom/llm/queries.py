@@ -72,18 +72,12 @@ def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
     return stable.replay(table(spark, d, "cbis_samples"), F.date_format("received_at", "yyyy-MM")).sample()
 
 
-def _p5(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    films = overlap.films_with_split(table(spark, d, "cbis_samples"))
-    return films, overlap.cross_split_pairs(films)
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.found_pairs(_p5(spark, d)[1])
+    return overlap.found_pairs(overlap.cross_split_pairs(overlap.films_with_split(table(spark, d, "cbis_samples"))))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    films, pairs = _p5(spark, d)
-    return overlap.overlap_report(films, cut(pairs))
+    return overlap.overlap_report(overlap.films_with_split(table(spark, d, "cbis_samples")))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -49,9 +49,21 @@ def test_all_pairs_are_found(spark):
     got = rows(O.found_pairs(pairs), "sample_id_a", "sample_id_b")
     assert len(got) == len(set(got)) and set(got) == brute(spark, df)
     assert (1000, 1001) in got
-    report = O.overlap_report(films, pairs)
-    assert report.agg(F.sum("n_pairs")).first()[0] == 2 * len(got)
-    assert report.agg(F.sum("n_rows")).first()[0] == films.count()
+
+
+def test_report_counts_what_the_pairs_say(spark):
+    df = spark.createDataFrame([*table(), table()[0], *[(2000 + i, ["Mass-Test", "Mass-Training"][i % 2], "P_7", "L", "CC", None, None, [9] * 64, "b") for i in range(9)]], DDL)
+    films = O.films_with_split(df)
+    per = {}
+    for a, b in rows(O.cross_split_pairs(films), "test_id", "train_id"):
+        per[a], per[b] = per.get(a, 0) + 1, per.get(b, 0) + 1
+    want = {}
+    for r in {tuple(x) for x in films.select("is_test", "source", "sample_id").collect()}:
+        n = want.setdefault((["Training", "Test"][r[0]], r[1]), [0, 0, 0])
+        for i, v in enumerate((1, r[2] in per, per.get(r[2], 0))):
+            n[i] += v
+    got = {(r.split_name, r.source): [r.n_rows, r.n_overlapping, r.n_pairs] for r in O.overlap_report(films).collect()}
+    assert got == want
 
 
 def test_no_confirmed_pair_is_below_the_least_jaccard(spark):
@@ -61,7 +73,7 @@ def test_no_confirmed_pair_is_below_the_least_jaccard(spark):
 
 def test_empty(spark):
     films = O.films_with_split(spark.createDataFrame([], DDL))
-    assert O.cross_split_pairs(films).count() == 0
+    assert O.cross_split_pairs(films).count() == 0 and O.overlap_report(films).count() == 0
 
 
 def test_copies_are_compared_once(spark):

@@ -435,8 +435,8 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return _pass(docs, look).select("doc_id", "host", "line", "norm")
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """Documents of each host that hold a normalised line, for lines of two documents or more: host, norm, n_docs. Summed per batch before the shuffle."""
+def line_counts(docs: DataFrame, least: int = 2) -> DataFrame:
+    """Documents of each host that hold a normalised line, for lines of ``least`` documents or more: host, norm, n_docs. Summed per batch before the shuffle."""
 
     def look(rows):
         count = Counter()
@@ -445,7 +445,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
         for (host, norm), n in count.items():
             yield None, host, None, None, norm, n
 
-    return _pass(docs, look).groupBy("host", "norm").agg(F.sum("n").alias("n_docs")).where("n_docs > 1")
+    return _pass(docs, look).groupBy("host", "norm").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= least)
 
 
 def mock_words(docs: DataFrame, n_sentences: int | None = None) -> list[str]:
@@ -455,8 +455,8 @@ def mock_words(docs: DataFrame, n_sentences: int | None = None) -> list[str]:
     opening, but their words recur in those that have it. Sentences count once,
     however often they are copied. A seed teaches its words only if
     MOCK_SENTENCE_SHARE of them are peculiar to seeds, so a person's sentence
-    about the opening teaches none. ``n_sentences``: distinct sentences of the
-    corpus, if known (their order of size is enough).
+    about the opening teaches none. ``n_sentences``: the size of the corpus in
+    distinct lines or sentences, if known; else it is counted.
     """
     opening = re.compile(r"lorem\s+ipsum")
     seed_ddl = "seed bigint, words array<string>"
@@ -484,19 +484,23 @@ def mock_words(docs: DataFrame, n_sentences: int | None = None) -> list[str]:
         for b in batches:
             found = {}
             for text in b.column(2).to_pylist():
-                for s in _SPLIT_LINES.split(text.lower()):
+                text = text.lower()
+                if number.keys().isdisjoint(_WORDS.findall(text)):
+                    continue
+                for s in _SPLIT_LINES.split(text):
                     w = _WORDS.findall(s)
-                    if w and not opening.search(s):
+                    if not number.keys().isdisjoint(w) and not opening.search(s):
                         found[line_key(" ".join(w))] = w
             held = [[number[x] for x in set(w) if x in number] for w in found.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(held, pa.list_(pa.int32()))], names=["seed", "words"])
 
     others = _texts(docs).mapInArrow(others_of, "seed bigint, words array<int>").groupBy("seed").agg(F.first("words").alias("words"))
-    # one row a word, and one of all sentences under -1
-    n_other = {r.w: r.n for r in others.select(F.explode(F.concat("words", F.array(F.lit(-1)))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    n_other = {r.w: r.n for r in others.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # one row a word
+    if n_sentences is None:
+        n_sentences = line_counts(docs, 1).count()
     of = lambda w: n_other.get(known.value[w], 0)
     n_seeds = seeds.count()
-    least = min(MOCK_LIFT * n_seeds / (n_seeds + n_other.get(-1, 0)), 0.5)
+    least = min(MOCK_LIFT * n_seeds / max(n_sentences, n_seeds), 0.5)
     peculiar = [w for w, n in n_seed.items() if n / (n + of(w)) >= least]
     if not peculiar:
         return []
@@ -541,11 +545,13 @@ def residue(docs: DataFrame) -> DataFrame:
     have no lines.
     """
     got = cut(counted_and_searched(docs))
-    counts = got.where("n is not null").groupBy("host", "line").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= BOILERPLATE_DOCS)
+    counts = got.where("n is not null").groupBy("host", "line").agg(F.sum("n").alias("n_docs"))
+    n_lines = counts.count()
+    counts = counts.where(F.col("n_docs") >= BOILERPLATE_DOCS)
     sizes = docs.groupBy(F.expr(HOST).alias("host")).agg(F.count("*").alias("host_docs"))
     furniture = cut(counts.join(sizes, "host").where(F.col("n_docs") >= BOILERPLATE_SHARE * F.col("host_docs")).select("host", "line"))
     lines = got.where("kind is not null").select("doc_id", "host", "line", "kind")
-    mock = mock_words(docs)
+    mock = mock_words(docs, n_lines)
     if mock:
         lines = lines.unionByName(mock_lines(docs, mock))
     lines = cut(lines.distinct())

@@ -62,8 +62,8 @@ def spelt_names(spellings: DataFrame, names: DataFrame) -> DataFrame:
     """
     want = names.where("roi_name is not null").select(F.col("roi_name").alias("name"), _letters(F.col("roi_name")).alias("w")).where("w <> ''").distinct()
     plural = want.select("name", "w", F.explode(F.array("w", F.concat("w", F.lit("s")), F.concat("w", F.lit("es")))).alias("k"))
-    longest = want.agg((F.max(F.length("w")) + 2).alias("longest"))  # one row; a longer word means no name
-    k = spellings.select("k").where("k <> ''").distinct().join(F.broadcast(longest), F.length("k") <= F.col("longest")).select("k")
+    longest = want.agg(F.max(F.length("w"))).first()[0] or 0  # one number; a word that is longer by more than a plural's ending means no name
+    k = spellings.select("k").where((F.col("k") != "") & (F.length("k") <= longest + 2)).distinct()
     exact = k.join(plural, "k").select("k", F.lit(0).alias("off"), "name")
     near = (
         k.select("k", F.explode(_shorter(F.col("k"))).alias("v"))

@@ -11,6 +11,10 @@ def clamp(v: Column, lo, hi) -> Column:
     return F.least(F.greatest(v, lift(lo)), lift(hi))
 
 
+def absolute(v: Column) -> Column:
+    return F.abs(v)
+
+
 def gamma_correction(v: Column, gamma: float) -> Column:
     """(v / 4095) ^ gamma * 4095; NaN for negative pixels under a fractional gamma."""
     return F.pow(v / 4095.0, F.lit(float(gamma))) * 4095.0

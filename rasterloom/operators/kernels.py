@@ -6,6 +6,8 @@ no kernel needs a shuffle. Arithmetic is in double precision.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 # -- padding and stencils ------------------------------------------------------
@@ -43,15 +45,16 @@ def correlate_rows_columns(x: np.ndarray, line: np.ndarray, rule: str) -> np.nda
     return correlate(correlate(x, line[:, None], rule), line[None, :], rule)
 
 
-def box(x: np.ndarray, k: int, rule: str, reduce: np.ufunc) -> np.ndarray:
-    """Minimum, maximum or sum of k x k boxes, separably: 2 k steps instead of k squared."""
-    p = padded(x, k // 2, k // 2, rule)
-    h, w = x.shape[1], x.shape[2]
+def box(x: np.ndarray, k: int, rule: str, reduce: np.ufunc, kw: int | None = None) -> np.ndarray:
+    """Minimum, maximum or sum of k x kw boxes (k x k by default), separably: k + kw steps instead of their product."""
+    kw = k if kw is None else kw
+    p = padded(x, k // 2, kw // 2, rule)
+    h, w = p.shape[1] - k + 1, p.shape[2] - kw + 1
     rows = p[:, :h]
     for i in range(1, k):
         rows = reduce(rows, p[:, i : i + h])
     out = rows[:, :, :w]
-    for j in range(1, k):
+    for j in range(1, kw):
         out = reduce(out, rows[:, :, j : j + w])
     return out
 
@@ -70,11 +73,22 @@ def gaussian(x: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
     return correlate_rows_columns(x, gaussian_line(sigma, truncate), "replicate")
 
 
+#: Values that the windows of one row band may hold.
+BAND_VALUES = 4_000_000
+
+
 def median(x: np.ndarray, size: int) -> np.ndarray:
+    """Median of size x size windows, band after band of rows, so that the windows of a band are the only copies."""
     if size % 2 == 0:
         raise ValueError("median size must be odd")
     v = windows(x, size, size, "reflect")
-    return np.median(v.reshape(*v.shape[:3], -1), axis=-1)
+    out = np.empty(x.shape)
+    rows = max(1, BAND_VALUES // max(1, len(x) * x.shape[2] * size * size))
+    middle = size * size // 2
+    for r in range(0, x.shape[1], rows):
+        part = v[:, r : r + rows]
+        out[:, r : r + rows] = np.partition(part.reshape(*part.shape[:3], -1), middle, axis=-1)[..., middle]
+    return out
 
 
 def difference_of_gaussian(x: np.ndarray, low: float, high: float | None = None, truncate: float = 4.0) -> np.ndarray:
@@ -108,6 +122,15 @@ def histogram_bins(x: np.ndarray) -> int:
     return 256 if x.max() <= 255 else 4096
 
 
+def histogram(image: np.ndarray, bins: int, lo: float, hi: float) -> np.ndarray:
+    """Pixels per bin of equal width from lo to hi, the last one closed; values outside count nowhere, equal bounds widen by 1 on both sides."""
+    v = image.ravel()
+    if hi <= lo:
+        lo, hi = lo - 1, hi + 1
+    v = v[(v >= lo) & (v <= hi)]
+    return np.bincount(np.minimum(np.floor((v - lo) * bins / (hi - lo)).astype(int), bins - 1), minlength=bins)
+
+
 def otsu_of(image: np.ndarray) -> tuple[int, float]:
     """Bin and threshold of one image; a constant image has bin 0 and its value."""
     lo, hi = float(image.min()), float(image.max())
@@ -141,9 +164,11 @@ def sauvola(x: np.ndarray, window: int, k: float = 0.5, r: float = 128.0) -> np.
 
 
 def local_variance(x: np.ndarray, kh: int, kw: int | None = None) -> np.ndarray:
+    """Sample variance of kh x kw windows, from box sums."""
     kw = kh if kw is None else kw
-    v = windows(x, kh, kw, "reflect")
-    return v.reshape(*v.shape[:3], -1).var(axis=-1, ddof=1)
+    n = kh * kw
+    s1, s2 = box(x, kh, "reflect", np.add, kw), box(x * x, kh, "reflect", np.add, kw)
+    return np.maximum(n * s2 - s1 * s1, 0) / (n * (n - 1))
 
 
 def variance_of(x: np.ndarray) -> np.ndarray:
@@ -294,87 +319,106 @@ def intensity_window(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((x - a[:, None, None]) / span[:, None, None], 0, 1) * 255.0
 
 
-def gabor_bank(scales: int, orientations: int) -> list[np.ndarray]:
-    """Real Gabor kernels: frequency 0.25 / sqrt(2)^m, deviation 1 / (2 f), odd size of six deviations."""
-    out = []
-    for m in range(scales):
-        f = 0.25 / np.sqrt(2.0) ** m
-        dev = 1.0 / (2.0 * f)
-        size = int(np.ceil(6 * dev))
-        size += 1 - size % 2
-        at = np.arange(-(size // 2), size // 2 + 1, dtype=float)
-        y, xx = np.meshgrid(at, at, indexing="ij")
-        for n in range(orientations):
-            t = n * np.pi / orientations
-            out.append(np.exp(-(xx**2 + y**2) / (2 * dev**2)) * np.cos(2 * np.pi * f * (xx * np.sin(t) + y * np.cos(t))))
-    return out
-
-
-#: Images of at most so many pixels are correlated by one dense matrix product.
-DENSE_PIXELS = 1024
-
-
-def _correlate_large(x: np.ndarray, kernels: list[np.ndarray]) -> np.ndarray:
-    """Replicate-border correlation with kernels of one size, by FFT: the cost does not depend on their size."""
-    k = kernels[0].shape[0]
-    p = padded(x, k // 2, k // 2, "replicate")
-    shape = p.shape[1:]
-    f = np.fft.rfft2(p)
-    out = [np.fft.irfft2(f * np.conj(np.fft.rfft2(w, shape)), shape)[:, : x.shape[1], : x.shape[2]] for w in kernels]
-    return np.stack(out)
+class GaborBank:
+    """Real Gabor kernels: frequency 0.25 / sqrt(2)^m, deviation 1 / (2 f), odd size of six deviations.
 
+    A kernel is the difference of two products of lines, cosines along columns
+    and rows less sines along both, each under a Gaussian, so a response takes
+    line passes, whatever the image's size. A pass is a product with banded
+    matrices of LINE_BLOCK outputs.
+    """
 
-def gabor_responses(x: np.ndarray, bank: list[np.ndarray]) -> np.ndarray:
-    """(kernels, images, rows, columns) absolute responses."""
-    h, w = x.shape[1:]
-    if h * w <= DENSE_PIXELS:
-        units = np.eye(h * w).reshape(-1, h, w)
-        operators = np.stack([correlate(units, k, "replicate").reshape(h * w, -1) for k in bank])
-        return np.abs(np.matmul(x.reshape(1, len(x), -1), operators)).reshape(len(bank), len(x), h, w)
-    sizes = sorted({k.shape[0] for k in bank})
-    parts = {s: iter(_correlate_large(x, [k for k in bank if k.shape[0] == s])) for s in sizes}
-    return np.abs(np.stack([next(parts[k.shape[0]]) for k in bank]))
+    #: Outputs of one banded matrix.
+    LINE_BLOCK = 128
+
+    def __init__(self, scales: int, orientations: int):
+        self.kernels = []
+        for m in range(scales):
+            f = 0.25 / np.sqrt(2.0) ** m
+            dev = 1.0 / (2.0 * f)
+            size = int(np.ceil(6 * dev))
+            size += 1 - size % 2
+            at = np.arange(-(size // 2), size // 2 + 1, dtype=float)
+            g = np.exp(-(at**2) / (2 * dev**2))
+            for n in range(orientations):
+                a, b = (2 * np.pi * f * at * t for t in (np.sin(n * np.pi / orientations), np.cos(n * np.pi / orientations)))
+                self.kernels.append(((g * np.cos(a), g * np.sin(a)), (g * np.cos(b), g * np.sin(b))))
+        self.bands: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return len(self.kernels)
+
+    def dense(self, k: int) -> np.ndarray:
+        """The kernel as a square of weights."""
+        (ca, sa), (cb, sb) = self.kernels[k]
+        return np.outer(cb, ca) - np.outer(sb, sa)
+
+    def _band(self, k: int, axis: int, outputs: int) -> np.ndarray:
+        """Matrix (outputs + size - 1, 2 outputs) of the cosine and the sine line of kernel k."""
+        key = (k, axis, outputs)
+        if key not in self.bands:
+            lines = self.kernels[k][axis]
+            size = len(lines[0])
+            m = np.zeros((outputs + size - 1, 2 * outputs))
+            for i, line in enumerate(lines):
+                for j in range(outputs):
+                    m[j : j + size, i * outputs + j] = line
+            self.bands[key] = m
+        return self.bands[key]
+
+    def response(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Absolute response (images, rows, columns) to kernel k, edges repeated."""
+        h, w = x.shape[1:]
+        half = len(self.kernels[k][0][0]) // 2
+        p = np.pad(x, ((0, 0), (half, half), (half, half)), mode="edge")
+        out = np.empty(x.shape)
+        for r in range(0, h, self.LINE_BLOCK):
+            n = min(self.LINE_BLOCK, h - r)
+            rows = self._band(k, 1, n)
+            for c in range(0, w, self.LINE_BLOCK):
+                m = min(self.LINE_BLOCK, w - c)
+                lines = p[:, r : r + n + 2 * half, c : c + m + 2 * half] @ self._band(k, 0, m)
+                out[:, r : r + n, c : c + m] = np.abs(rows[:, :n].T @ lines[:, :, :m] - rows[:, n:].T @ lines[:, :, m:])
+        return out
 
 
 def _levels(v: np.ndarray) -> np.ndarray:
     """Whole levels 0..255 between each image's own extremes; a constant image has level 0."""
     lo, hi = v.min(axis=(-2, -1), keepdims=True), v.max(axis=(-2, -1), keepdims=True)
     span = np.where(hi > lo, hi - lo, 1.0)
-    return np.where(hi > lo, np.round((v - lo) / span * 255.0, 6), 0).astype(np.int64)
-
-
-def _repeats(keys: np.ndarray) -> np.ndarray:
-    """How often each entry's value occurs in its row."""
-    order = np.argsort(keys, axis=1, kind="stable")
-    s = np.take_along_axis(keys, order, axis=1)
-    new = np.ones(s.shape, bool)
-    new[:, 1:] = s[:, 1:] != s[:, :-1]
-    run = np.cumsum(new.ravel()) - 1
-    count = np.bincount(run)[run].reshape(s.shape)
-    out = np.empty_like(count)
-    np.put_along_axis(out, order, count, axis=1)
-    return out
+    return np.where(hi > lo, np.round((v - lo) / span * 255.0, 6), 0).astype(np.uint8)
+
 
+def level_information(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Mutual information (bits) of two stacks of levels, per image, from the joint levels' counts."""
+    n, size = len(x), x[0].size if len(x) else 0
+    key = (x.astype(np.uint16) << 8 | y).reshape(n, size)
+    key = np.sort(key, axis=1, kind="stable")  # a radix sort
+    new = np.ones(key.shape, bool)
+    new[:, 1:] = key[:, 1:] != key[:, :-1]
+    at = np.flatnonzero(new)
+    count = np.diff(at, append=key.size)
+    image, cell = at // size, key.ravel()[at].astype(np.int64)
+    a, b = image * 256 + (cell >> 8), image * 256 + (cell & 255)
+    px, py = (np.bincount(v, weights=count, minlength=n * 256)[v] / size for v in (a, b))
+    p = count / size
+    return np.bincount(image, weights=p * np.log2(p / np.maximum(px * py, 1e-12)), minlength=n)
 
-def response_information(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Mutual information (bits) of two response stacks (kernels, images, rows, columns): one sum over the kernels per image."""
-    k, n = a.shape[:2]
-    x, y = (_levels(v).reshape(k * n, -1) for v in (a, b))
-    size = x.shape[1]
-    joint, px, py = (_repeats(v) / size for v in (x * 256 + y, x, y))
-    # a cell's term times its share is the mean over its pixels
-    bits = np.log2(joint / np.maximum(px * py, 1e-12)).mean(axis=1)
-    return bits.reshape(k, n).sum(axis=0)
+
+def response_information(x: np.ndarray, y: np.ndarray, bank: GaborBank) -> np.ndarray:
+    """Mutual information (bits) of the Gabor responses of two image stacks, summed over the kernels; one response at a time is held."""
+    return sum(level_information(_levels(bank.response(x, k)), _levels(bank.response(y, k))) for k in range(len(bank)))
 
 
 def grail_bounds(x: np.ndarray, scales: int = 3, orientations: int = 6, delta: int = 300, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Windows [a, b] of a stack of images that keep most texture information of the originals.
 
     Upper and lower bound are searched in turn among eleven candidates, all
-    images at once; the first best candidate wins.
+    images at once; the first best candidate wins. The originals' responses are
+    kept as levels, one byte a pixel and kernel.
     """
-    bank = gabor_bank(scales, orientations)
-    whole = gabor_responses(x, bank)
+    bank = GaborBank(scales, orientations)
+    whole = [_levels(bank.response(x, k)) for k in range(len(bank))]
     a, b = x.min(axis=(1, 2)), x.max(axis=(1, 2))
     for _ in range(rounds):
         for upper in (True, False):
@@ -386,7 +430,7 @@ def grail_bounds(x: np.ndarray, scales: int = 3, orientations: int = 6, delta: i
                 if not fit.any():
                     continue
                 seen = intensity_window(x[fit], a[fit] if upper else c[fit], c[fit] if upper else b[fit])
-                score = np.round(response_information(whole[:, fit], gabor_responses(seen, bank)), 9)
+                score = np.round(sum(level_information(w[fit], _levels(bank.response(seen, k))) for k, w in enumerate(whole)), 9)
                 better = score > best[fit]
                 at = np.flatnonzero(fit)[better]
                 best[at], chosen[at] = score[better], c[at]
@@ -445,18 +489,33 @@ def spread_centroids(z: np.ndarray, k: int) -> np.ndarray:
     return lo + (hi - lo) * np.arange(k) / max(k - 1, 1)
 
 
+def uniform(seed: int, i: int) -> float:
+    """A number in [0, 1) from the hash of (seed, i): the same in every engine."""
+    return int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:8], 16) / 2.0**32
+
+
 def plus_plus_centroids(z: np.ndarray, k: int, seeds: list[int]) -> np.ndarray:
-    """k-means++ starts, one generator per image."""
+    """k-means++ starts, one seed per image: the next centre is drawn by squared distance from those there are."""
     out = np.empty((len(z), k))
     for i, (v, seed) in enumerate(zip(z, seeds)):
-        rng = np.random.default_rng(seed)
-        out[i, 0] = v[rng.integers(len(v))]
+        out[i, 0] = v[int(uniform(seed, 0) * len(v))]
+        d = np.full(len(v), np.inf)
         for j in range(1, k):
-            d = ((v[:, None] - out[i, None, :j]) ** 2).min(axis=1)
-            out[i, j] = v[rng.choice(len(v), p=d / d.sum())] if d.sum() > 0 else v[rng.integers(len(v))]
+            d = np.minimum(d, (v - out[i, j - 1]) ** 2)
+            total = np.cumsum(d)
+            u = uniform(seed, j)
+            out[i, j] = v[np.searchsorted(total, u * total[-1], "right")] if total[-1] > 0 else v[int(u * len(v))]
     return out
 
 
+def random_memberships(n: int, c: int, seed: int) -> np.ndarray:
+    """(c, n) memberships that sum to 1 per pixel: multiples of a fixed odd number, shifted by the seed's hash."""
+    salt = int(uniform(seed, 0) * 2**32)
+    at = np.arange(n * c, dtype=np.uint64).reshape(n, c).T + np.uint64(1)
+    u = ((at * np.uint64(2654435761) + np.uint64(salt)) & np.uint64(0xFFFFFFFF)) / 2.0**32
+    return u / u.sum(axis=0)
+
+
 def kmeans(z: np.ndarray, v: np.ndarray, iterations: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
     """Lloyd's steps on (images, pixels); an empty cluster keeps its centroid. Returns labels and centroids.
 
@@ -536,17 +595,15 @@ def pfcm(z: np.ndarray, u: np.ndarray, v: np.ndarray, m: float, eta: float, a: f
 
 
 def growing_seed(image: np.ndarray) -> float:
-    """Mean of the regional maxima that lead their 3 x 3 surroundings; ties within a plateau go by a fixed hash of the place."""
+    """Mean of the regional maxima that lead their 3 x 3 surroundings; ties within a plateau are parted by NumPy's generator of seed 42, in raster order."""
     peak = regional_maxima(image[None])[0]
     if not peak.any():
         return float(image.mean())
     values = image[peak]
     gaps = np.diff(np.sort(values))
     gap = gaps[gaps > 0].min() if (gaps > 0).any() else 1e-6
-    place = np.arange(image.size, dtype=np.uint64).reshape(image.shape)[peak]
-    jitter = ((place * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / 2.0**53
     lifted = np.zeros(image.shape)
-    lifted[peak] = values + jitter * gap
+    lifted[peak] = values + np.random.RandomState(42).random(len(values)) * gap
     top = box(lifted[None], 3, "symmetric", np.maximum)[0]
     lead = peak & (lifted == top) & (lifted > 0)
     return float(image[lead].mean()) if lead.any() else float(values.mean())

@@ -129,8 +129,7 @@ def _start(z, k, ids, seed):
 def _membership_start(z, c, ids, seed, m):
     if seed is None:
         return K.memberships((z[:, None, :] - K.spread_centroids(z, c)[:, :, None]) ** 2, m)
-    u = np.stack([np.random.default_rng((seed * 1_000_003 + int(i)) % 2**63).random((c, z.shape[1])) for i in ids])
-    return u / u.sum(axis=1, keepdims=True)
+    return np.stack([K.random_memberships(z.shape[1], c, (seed * 1_000_003 + int(i)) % 2**63) for i in ids])
 
 
 def kmeans_statistics(images: DataFrame, k: int = 2, iterations: int = 100, tol: float = 1e-4, seed: int | None = 42) -> DataFrame:
@@ -166,21 +165,35 @@ def gabor_means(images: DataFrame, scales: int, orientations: int) -> DataFrame:
     """Mean absolute response per image and kernel."""
 
     def run(ids, x):
-        r = K.gabor_responses(x, K.gabor_bank(scales, orientations)).mean(axis=(2, 3))
-        return {"image_id": np.tile(ids, len(r)), "kernel_id": np.repeat(np.arange(len(r), dtype=np.int32), len(ids)), "response": r.ravel()}
+        bank = K.GaborBank(scales, orientations)
+        r = np.concatenate([bank.response(x, k).mean(axis=(1, 2)) for k in range(len(bank))])
+        return {"image_id": np.tile(ids, len(bank)), "kernel_id": np.repeat(np.arange(len(bank), dtype=np.int32), len(ids)), "response": r}
 
     return describe_images(images, run, "image_id bigint, kernel_id int, response double")
 
 
 def gabor_information(pairs: DataFrame, scales: int, orientations: int) -> DataFrame:
     """Mutual information of the Gabor responses of two images, summed over the kernels."""
+    return map_pairs(pairs, lambda x, y: {"information": K.response_information(x, y, K.GaborBank(scales, orientations))}, "image_id bigint, information double")
 
-    def run(x, y):
-        bank = K.gabor_bank(scales, orientations)
-        a, b = K.gabor_responses(x, bank), K.gabor_responses(y, bank)
-        return {"information": K.response_information(a, b)}
 
-    return map_pairs(pairs, run, "image_id bigint, information double")
+def histograms(images: DataFrame, bins: int = 256, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """image_id, bin, lo, hi and n (pixels) of the bins that hold any, between the bounds or else each image's own extremes."""
+
+    def run(ids, x):
+        cols = {k: [] for k in ("image_id", "bin", "lo", "hi", "n")}
+        for i, one in zip(ids, x):
+            a, b = (float(one.min()), float(one.max())) if lo is None or hi is None else (lo, hi)
+            n = K.histogram(one, bins, a, b)
+            if b <= a:
+                a, b = a - 1, b + 1
+            at = np.flatnonzero(n)
+            edge = a + np.arange(bins + 1) * (b - a) / bins
+            for k, v in zip(cols, (np.full(len(at), i), at.astype(np.int32), edge[at], edge[at + 1], n[at])):
+                cols[k].append(v)
+        return {k: np.concatenate(v) if v else np.zeros(0) for k, v in cols.items()}
+
+    return describe_images(images, run, "image_id bigint, bin int, lo double, hi double, n bigint")
 
 
 def grail_windows(images: DataFrame, scales: int = 3, orientations: int = 6, delta: int = 300, rounds: int = 3) -> DataFrame:

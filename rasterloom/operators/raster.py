@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.session import shuffle_width
+
 IMAGE_DDL = "image_id bigint, h int, w int, pixels array<double>"
 _TILE_SCHEMA = pa.schema(
     [("image_id", pa.int64()), *[(k, pa.int32()) for k in ("row_idx", "col_idx", "row_off", "col_off", "image_h", "image_w", "h", "w")], ("pixels", pa.list_(pa.float64()))]
@@ -49,18 +51,16 @@ def from_px(px: DataFrame, value: str = "v") -> DataFrame:
 
 
 def mosaic(images: DataFrame, across: int) -> DataFrame:
-    """across x across neighbouring images (by id) side by side; incomplete groups are left out."""
+    """across x across neighbouring images (by id) side by side; a missing image is zeros, and a mosaic is as large as its members' largest."""
     n = across * across
-    g = images.select(F.floor(F.col("image_id") / n).cast("bigint").alias("g"), F.pmod("image_id", F.lit(n)).alias("k"), "h", "w", "pixels")
-    out = g.groupBy("g").agg(F.count("*").alias("n"), F.max("h").alias("h"), F.max("w").alias("w"), F.array_sort(F.collect_list(F.struct("k", "pixels"))).alias("parts"))
-    i, j = lambda p: F.floor(p / (across * F.col("w"))), lambda p: F.pmod(p, across * F.col("w"))
-    cell = lambda p: F.element_at(
-        F.element_at("parts", (F.floor(i(p) / F.col("h")) * across + F.floor(j(p) / F.col("w")) + 1).cast("int"))["pixels"],
-        (F.pmod(i(p), F.col("h")) * F.col("w") + F.pmod(j(p), F.col("w")) + 1).cast("int"),
-    )
-    # in its own step: inside a lambda a column must not share its name with an alias beside it
-    joined = out.where(F.col("n") == n).withColumn("pixels", F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") * n - 1), cell))
-    return joined.select(F.col("g").alias("image_id"), (F.col("h") * across).cast("int").alias("h"), (F.col("w") * across).cast("int").alias("w"), "pixels")
+    k = F.pmod("image_id", F.lit(n))
+    size = images.groupBy(F.floor(F.col("image_id") / n).cast("bigint").alias("g")).agg(F.max("h").alias("top_h"), F.max("w").alias("top_w"))
+    placed = images.withColumn("g", F.floor(F.col("image_id") / n).cast("bigint")).join(size, "g")
+    tiles = placed.select(
+        F.col("g").alias("image_id"), (F.floor(k / across) * F.col("top_h")).cast("int").alias("row_off"), (F.pmod(k, F.lit(across)) * F.col("top_w")).cast("int").alias("col_off"),
+        (F.col("top_h") * across).cast("int").alias("image_h"), (F.col("top_w") * across).cast("int").alias("image_w"), "h", "w", "pixels",
+    )
+    return untile(tiles)
 
 
 def stacks(batch: pa.RecordBatch, pixels: str = "pixels") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -123,9 +123,29 @@ def map_pairs(pairs: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[
     return pairs.where((F.size("pixels") == F.size("other")) & (F.size("pixels") == F.col("h") * F.col("w"))).select("image_id", "h", "w", "pixels", "other").mapInArrow(run, ddl)
 
 
+def channel_planes(images: DataFrame) -> DataFrame:
+    """image_id, ch, h, w, pixels: one row a channel of images whose ``c`` channels are interleaved (row, column, channel).
+
+    A null c counts as 1. Stencils, masks and measures run on planes as on
+    images. Pixels that don't fit their size give nothing.
+    """
+    c = F.coalesce(F.col("c"), F.lit(1))
+    ok = images.where(F.size("pixels") == F.col("h") * F.col("w") * c).select(F.col("image_id").cast("bigint").alias("image_id"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), c.cast("int").alias("c"), F.col("pixels").cast("array<double>").alias("pixels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, w, c = (b.column(k).to_pylist() for k in ("h", "w", "c"))
+            for i in range(b.num_rows):
+                x = b.column("pixels")[i].values.to_numpy(zero_copy_only=False).reshape(h[i] * w[i], c[i]).T
+                same = lambda v, n=c[i]: pa.array([v] * n, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("image_id")[i].as_py()] * c[i], pa.int64()), pa.array(range(c[i]), pa.int32()), same(h[i]), same(w[i]), _listed(x)], names=["image_id", "ch", "h", "w", "pixels"])
+
+    return ok.mapInArrow(run, "image_id bigint, ch int, h int, w int, pixels array<double>")
+
+
 def spread(images: DataFrame) -> DataFrame:
-    """Images dealt evenly to all cores, for kernels that cost far more than moving the rows."""
-    return images.repartition(images.sparkSession.sparkContext.defaultParallelism, "image_id")
+    """Images dealt evenly over the session's shuffle partitions, for kernels that cost far more than moving the rows."""
+    return images.repartition(shuffle_width(images.sparkSession), "image_id")
 
 
 def _tiles_of(x: np.ndarray, tile: int, halo: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -171,7 +191,7 @@ def map_tiles(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], til
     """
     tiles = tiled(images, tile, halo)
     if apart:
-        tiles = tiles.repartition(images.sparkSession.sparkContext.defaultParallelism, "image_id", "row_off", "col_off")
+        tiles = tiles.repartition(shuffle_width(images.sparkSession), "image_id", "row_off", "col_off")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,16 +205,75 @@ def map_tiles(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], til
     return tiles.select("image_id", "row_off", "col_off", "h", "w", "pixels").mapInArrow(run, "image_id bigint, row_off int, col_off int, h int, w int, pixels array<double>")
 
 
+def fold(rows: DataFrame, key: str, start: Callable[[dict], np.ndarray], add: Callable[[np.ndarray, dict, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
+    """A batch function that folds neighbouring rows of one key into one array, one row after the other.
+
+    ``start(row)`` makes the array of a new key, ``add(array, row, pixels)``
+    enters a row and returns the array. Only the key at hand is held.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        current, out = None, None
+        for b in batches:
+            cols = {n: b.column(n).to_pylist() for n in names if n != "pixels"}
+            pixels = b.column("pixels")
+            for i in range(b.num_rows):
+                row = {n: v[i] for n, v in cols.items()}
+                if out is None or row[key] != current:
+                    if out is not None:
+                        yield current, out
+                    current, out = row[key], start(row)
+                out = add(out, row, pixels[i].values.to_numpy(zero_copy_only=False))
+        if out is not None:
+            yield current, out
+
+    return run
+
+
 def untile(tiles: DataFrame) -> DataFrame:
-    """Images from tiles (image_id, row_off, col_off, h, w, pixels): one shuffle on image_id."""
-    g = tiles.groupBy("image_id").agg(
-        F.max(F.col("row_off") + F.col("h")).cast("int").alias("H"), F.max(F.col("col_off") + F.col("w")).cast("int").alias("W"),
-        F.collect_list(F.struct("row_off", "col_off", "h", "w", "pixels")).alias("t"),
-    )
-    cells = F.flatten(
-        F.transform("t", lambda t: F.transform(t["pixels"], lambda v, p: F.struct((t["row_off"] + F.floor(p / t["w"])).cast("int").alias("r"), (t["col_off"] + F.pmod(p, t["w"])).cast("int").alias("c"), v.alias("v"))))
-    )
-    return g.select("image_id", F.col("H").alias("h"), F.col("W").alias("w"), F.transform(F.array_sort(cells), lambda s: s["v"]).alias("pixels"))
+    """Images from tiles (image_id, row_off, col_off, h, w, pixels[, image_h, image_w]): one shuffle on image_id.
+
+    Tiles are written into their image one by one; only the image at hand is in
+    memory. Without image_h and image_w an image grows to its last tile; what no
+    tile covers is 0, of overlapping tiles the last in order of offsets counts.
+    """
+    sized = "image_h" in tiles.columns
+    cols = ["image_id", "row_off", "col_off", "h", "w", "pixels", *(["image_h", "image_w"] if sized else [])]
+    t = tiles.where("image_id is not null and pixels is not null").select(cols).repartition("image_id").sortWithinPartitions("image_id", "row_off", "col_off")
+
+    def add(out: np.ndarray, row: dict, pixels: np.ndarray) -> np.ndarray:
+        r, c, h, w = (row[k] for k in ("row_off", "col_off", "h", "w"))
+        if r + h > out.shape[0] or c + w > out.shape[1]:
+            out = np.pad(out, ((0, max(r + h - out.shape[0], 0)), (0, max(c + w - out.shape[1], 0))))
+        out[r : r + h, c : c + w] = pixels.reshape(h, w)
+        return out
+
+    folded = fold(t, "image_id", lambda row: np.zeros((row["image_h"], row["image_w"]) if sized else (0, 0)), add)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for image_id, x in folded(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([image_id], pa.int64()), *[pa.array([v], pa.int32()) for v in x.shape], _listed(x[None])], names=["image_id", "h", "w", "pixels"])
+
+    return t.mapInArrow(run, IMAGE_DDL)
+
+
+def collate(images: DataFrame, batch: Column) -> DataFrame:
+    """image_id, batch, h, w, pixels: zero-padding right and below to the largest height and width of each batch."""
+    b = images.withColumn("batch", batch.cast("bigint"))
+    top = b.groupBy("batch").agg(F.max("h").alias("bh"), F.max("w").alias("bw"))
+    rows = b.join(top, "batch").where(F.size("pixels") == F.col("h") * F.col("w")).select("image_id", "batch", "h", "w", "bh", "bw", "pixels")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bh, bw = (b.column(k).to_numpy(zero_copy_only=False) for k in ("bh", "bw"))
+            for ids, x, at in stacks(b):
+                for one, i, n in zip(x, ids, at):
+                    y = np.zeros((bh[n], bw[n]))
+                    y[: one.shape[0], : one.shape[1]] = one
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), b.column("batch").slice(int(n), 1), *[pa.array([v], pa.int32()) for v in y.shape], _listed(y[None])], names=["image_id", "batch", "h", "w", "pixels"])
+
+    return rows.mapInArrow(run, "image_id bigint, batch bigint, h int, w int, pixels array<double>")
 
 
 def stat(images: DataFrame, name: str, value: Column) -> DataFrame:

@@ -62,15 +62,15 @@ def sliding_patches(images: DataFrame, size: int = 512, stride: int = 256) -> Da
     return whole(images).mapInArrow(run, "image_id bigint, patch_idx int, row_off int, col_off int, is_padded boolean, h int, w int, pixels array<double>")
 
 
-def draw_points(points: list[tuple[float, float]], h: int, w: int) -> np.ndarray:
-    """Mask of one outline of (x, y) points: one or two points are disks, more a polygon of whole-number vertices."""
+def draw_points(points: list[tuple[float, float]], h: int, w: int, whole: bool = True) -> np.ndarray:
+    """Mask of one outline of (x, y) points: one or two points are disks, more a polygon; ``whole`` cuts vertices to whole numbers."""
     out = np.zeros((h, w), bool)
     if len(points) < 3:
         r, c = np.ogrid[:h, :w]
         for x, y in points:
             out |= (r - int(y)) ** 2 + (c - int(x)) ** 2 < POINT_RADIUS**2
         return out
-    return fill_polygon([(int(x), int(y)) for x, y in points], h, w)
+    return fill_polygon([(int(x), int(y)) for x, y in points] if whole else points, h, w)
 
 
 def fill_polygon(points: list[tuple[float, float]], h: int, w: int) -> np.ndarray:
@@ -96,6 +96,31 @@ def fill_polygon(points: list[tuple[float, float]], h: int, w: int) -> np.ndarra
     return out
 
 
+def outline_runs(outlines: DataFrame) -> DataFrame:
+    """Runs of pixels inside outlines (key, points array<struct<x, y>>, h, w): key, r, c0, c1 (inclusive).
+
+    Every outline is filled in its own box of an h x w image; only its runs
+    leave the task. Null and empty outlines give nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, points, hs, ws = (b.column(i).to_pylist() for i in range(4))
+            cols = [[], [], [], []]
+            for k, ps, h, w in zip(keys, points, hs, ws):
+                m = np.zeros((h, w + 2), np.int8)
+                m[:, 1:-1] = draw_points([(p["x"], p["y"]) for p in ps], h, w, whole=False)
+                step = np.diff(m, axis=1)
+                r, c0 = np.nonzero(step == 1)
+                c1 = np.nonzero(step == -1)[1] - 1
+                for col, v in zip(cols, ([k] * len(r), r.tolist(), c0.tolist(), c1.tolist())):
+                    col.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:]]], names=["key", "r", "c0", "c1"])
+
+    ok = outlines.where("key is not null and h > 0 and w > 0 and size(points) > 0")
+    return ok.select(F.col("key").cast("bigint").alias("key"), "points", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w")).mapInArrow(run, "key bigint, r int, c0 int, c1 int")
+
+
 def rasterise(outlines: DataFrame, sizes: DataFrame, key: str = "case_id") -> DataFrame:
     """One 0/1 mask a key: all outlines OR-ed. ``outlines``: key, points array<struct<x, y>>; ``sizes``: key, h, w.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import coco as C
 from rasterloom.functions import geometry as G
+from rasterloom.operators import regions as R
 from rasterloom.session import cut, table
 
 QUERIES: dict = {}
@@ -137,22 +138,27 @@ def image_json_roundtrip(spark, d):
     return s.select("file_path", "width", "height", "image_type", F.col("a.shape").alias("shape"), F.size("a.coordinates").alias("n"), F.col("a.label").alias("label"))
 
 
-@query("polygon_raster", f"""WITH {A}, p AS (SELECT ann_no, co FROM b WHERE kind = 2 AND ann_no % 10 = 2),
- g AS (SELECT CAST(y.v AS INTEGER) AS r, CAST(x.v AS INTEGER) AS c FROM (SELECT unnest(range(160)) AS v) y, (SELECT unnest(range(80)) AS v) x),
- e AS (SELECT ann_no, co[2 * k + 1] AS xa, co[2 * k + 2] AS ya, co[2 * ((k + 1) % 4) + 1] AS xb, co[2 * ((k + 1) % 4) + 2] AS yb FROM p, (SELECT unnest(range(4)) AS k))
+@query("polygon_raster", f"""WITH {A}, p AS (SELECT ann_no, co, least(co[2], co[4], co[6], co[8]) AS y0, greatest(co[2], co[4], co[6], co[8]) AS y1, least(co[1], co[3], co[5], co[7]) AS x0, greatest(co[1], co[3], co[5], co[7]) AS x1 FROM b WHERE kind = 2),
+ rows_ AS (SELECT ann_no, co, x0, x1, unnest(range(greatest(CAST(floor(y0) AS INTEGER), 0), least(CAST(ceil(y1) AS INTEGER), 159) + 1)) AS r FROM p),
+ g AS (SELECT ann_no, co, r, unnest(range(greatest(CAST(floor(x0) AS INTEGER), 0), least(CAST(ceil(x1) AS INTEGER), 79) + 1)) AS c FROM rows_),
+ e AS (SELECT ann_no, r, c, co[2 * k + 1] AS xa, co[2 * k + 2] AS ya, co[2 * ((k + 1) % 4) + 1] AS xb, co[2 * ((k + 1) % 4) + 2] AS yb FROM g, (SELECT unnest(range(4)) AS k))
  SELECT ann_no, count(*) AS n_pixels, CAST(sum(r) AS BIGINT) AS sum_r, CAST(sum(c) AS BIGINT) AS sum_c FROM (
-  SELECT ann_no, r, c FROM g, e WHERE (ya > r) <> (yb > r) AND c < (xb - xa) * (r - ya) / (yb - ya) + xa GROUP BY ann_no, r, c HAVING count(*) % 2 = 1) GROUP BY ann_no""")
+  SELECT ann_no, r, c FROM e WHERE (ya > r) <> (yb > r) AND c < (xb - xa) * (r - ya) / (yb - ya) + xa GROUP BY ann_no, r, c HAVING count(*) % 2 = 1) GROUP BY ann_no""")
 def polygon_raster(spark, d):
-    """Pixels inside polygons of a 160 x 80 image (even-odd rule); only the rows and columns of each box are tried."""
+    """Pixels inside all polygons of 160 x 80 images (even-odd rule), from the runs of their rows."""
     a = annotations(spark, d).where(F.col("shape") == G.POLYGON)
-    xs = F.filter("coordinates", lambda _, i: i % 2 == 0)
-    ys = F.filter("coordinates", lambda _, i: i % 2 == 1)
-    low, high = lambda v: F.greatest(F.floor(F.array_min(v)), F.lit(0)).cast("int"), lambda v, top: F.least(F.ceil(F.array_max(v)), F.lit(top)).cast("int")
-    px = (
-        a.select("ann_no", xs.alias("xs"), ys.alias("ys"))
-        .where((low(F.col("ys")) <= high(F.col("ys"), 159)) & (low(F.col("xs")) <= high(F.col("xs"), 79)))
-        .select("ann_no", "xs", "ys", F.explode(F.sequence(low(F.col("ys")), high(F.col("ys"), 159))).alias("r"))
-        .select("ann_no", "xs", "ys", "r", F.explode(F.sequence(low(F.col("xs")), high(F.col("xs"), 79))).alias("c"))
-        .where(G.inside_vertices(F.col("r"), F.col("c"), F.col("xs"), F.col("ys")))
-    )
-    return px.groupBy("ann_no").agg(F.count("*").alias("n_pixels"), F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"))
+    point = lambda i: F.struct(F.get("coordinates", 2 * i).alias("x"), F.get("coordinates", 2 * i + 1).alias("y"))
+    points = F.transform(F.sequence(F.lit(0), (F.size("coordinates") / 2 - 1).cast("int")), point)
+    runs = R.outline_runs(a.select(F.col("ann_no").alias("key"), points.alias("points"), F.lit(160).alias("h"), F.lit(80).alias("w")))
+    n = F.col("c1") - F.col("c0") + 1
+    return runs.groupBy(F.col("key").alias("ann_no")).agg(F.sum(n).alias("n_pixels"), F.sum(F.col("r") * n).cast("bigint").alias("sum_r"), F.sum((F.col("c0") + F.col("c1")) * n / 2).cast("bigint").alias("sum_c"))
+
+
+@query("annotation_edit", f"WITH {A} SELECT ann_no, CAST(1 AS INTEGER) AS n, CASE WHEN ann_no % 2 = 0 THEN label ELSE 'second' END AS label FROM b")
+def annotation_edit(spark, d):
+    """An annotation is added to a null list and a second one behind it; then the first or the last is removed."""
+    one = C.annotation_struct(F.col("shape"), F.col("coordinates"), F.col("label"))
+    a = annotations(spark, d).select("ann_no", one.alias("one"), F.lit("second").alias("label"), "shape", "coordinates").withColumn("two", C.annotation_struct(F.col("shape"), F.col("coordinates"), F.col("label")))
+    both = a.withColumn("list", C.add_annotation(F.when(F.lit(False), F.array("one")), F.col("one"))).withColumn("list", C.add_annotation(F.col("list"), F.col("two")))
+    left = F.when(F.col("ann_no") % 2 == 0, C.remove_annotation(F.col("list"), 1)).otherwise(C.remove_annotation(F.col("list"), 0))
+    return both.withColumn("list", left).select("ann_no", F.size("list").alias("n"), F.get("list", F.lit(0))["label"].alias("label"))

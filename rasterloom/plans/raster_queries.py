@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 from rasterloom.functions import pointwise as P
 from rasterloom.operators import kernels as K
 from rasterloom.operators import measures as M
-from rasterloom.operators.raster import images_from_vectors, map_images, mosaic, tiled, to_px, untile, map_tiles
+from rasterloom.operators import regions as R
+from rasterloom.operators.raster import channel_planes, collate, describe_images, images_from_vectors, map_images, mosaic, tiled, to_px, untile, map_tiles
 from rasterloom.plans import pipelines as L
 from rasterloom.session import table
+from rasterloom.sources.files import merge_masks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,6 +120,37 @@ _pointwise("intensity_window", lambda v, lo, hi: P.intensity_window(v, 1500, 250
 _pointwise("bit_depth_norm", lambda v, lo, hi: P.normalize_bit_depth(v, P.bits_stored(hi)), "least(greatest(v / (CASE WHEN hi <= 255 THEN 255.0 WHEN hi <= 4095 THEN 4095.0 ELSE 65535.0 END), 0), 1) * 255.0")
 
 
+@query("dicom_window_pipeline", f"WITH {PX}, px2 AS (SELECT *, min(v) OVER (PARTITION BY image_id) AS lo, max(v) OVER (PARTITION BY image_id) AS hi FROM px) SELECT image_id, r, c, round(least(greatest((v - ((lo + hi) / 2 - (CASE WHEN hi > lo THEN hi - lo ELSE 1 END) / 2)) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END), 0), 1) * 255.0 + 1e-9, 4) AS v FROM px2")
+def dicom_window_pipeline(spark, d):
+    return _px(L.DicomWindow()(images(spark, d)).withColumn("pixels", F.transform("pixels", lambda v: v + 1e-9)))
+
+
+@query("bit_depth_pipeline", f"WITH {PX}, px2 AS (SELECT *, max(v) OVER (PARTITION BY image_id) AS hi FROM px) SELECT image_id, r, c, round(least(greatest(v / (CASE WHEN hi <= 255 THEN 255.0 WHEN hi <= 4095 THEN 4095.0 ELSE 65535.0 END), 0), 1) * 255.0 + 1e-9, 4) AS v FROM px2")
+def bit_depth_pipeline(spark, d):
+    return _px(L.BitDepthNorm()(images(spark, d)).withColumn("pixels", F.transform("pixels", lambda v: v + 1e-9)))
+
+
+@query("abs_values", f"WITH {PX} SELECT image_id, r, c, abs(v - 2048.0) AS v FROM px")
+def abs_values(spark, d):
+    return _px(images(spark, d).withColumn("pixels", F.transform("pixels", lambda v: P.absolute(v - 2048.0))), None)
+
+
+@query("histogram_16", f"""WITH {PX}, ext AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY image_id), e AS (SELECT image_id, CASE WHEN hi > lo THEN lo ELSE lo - 1 END AS lo, CASE WHEN hi > lo THEN hi ELSE hi + 1 END AS hi FROM ext)
+ SELECT image_id, CAST(bin AS INTEGER) AS bin, round(min(lo + bin * (hi - lo) / 16), 4) AS lo, count(*) AS n FROM (SELECT image_id, lo, hi, least(floor((v - lo) * 16 / (hi - lo)), 15) AS bin FROM px JOIN e USING (image_id)) GROUP BY image_id, bin""")
+def histogram_16(spark, d):
+    return M.histograms(images(spark, d), 16).select("image_id", "bin", F.round("lo", 4).alias("lo"), "n")
+
+
+@query("channels_first", f"""WITH {PX} SELECT image_id // 3 AS image_id, CAST(image_id % 3 AS INTEGER) AS ch, r, c, v FROM px WHERE image_id // 3 IN (SELECT image_id // 3 FROM (SELECT DISTINCT image_id FROM px) GROUP BY 1 HAVING count(*) = 3)""")
+def channels_first(spark, d):
+    """Three neighbouring images as the interleaved channels of one, brought to planes."""
+    g = images(spark, d).select(F.floor(F.col("image_id") / 3).cast("bigint").alias("g"), F.pmod("image_id", F.lit(3)).alias("k"), "h", "w", "pixels")
+    rgb = g.groupBy("g").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.transform(F.array_sort(F.collect_list(F.struct("k", "pixels"))), lambda s: s["pixels"]).alias("p")).where(F.size("p") == 3)
+    mixed = rgb.select(F.col("g").alias("image_id"), "h", "w", F.lit(3).alias("c"), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.transform("p", lambda q: F.get(q, i)))).alias("pixels"))
+    planes = channel_planes(mixed)
+    return planes.select("image_id", "ch", "w", F.posexplode("pixels").alias("pos", "v")).select("image_id", "ch", F.floor(F.col("pos") / F.col("w")).cast("int").alias("r"), F.pmod("pos", "w").cast("int").alias("c"), "v")
+
+
 @query("image_stats", f"WITH {PX} SELECT image_id, min(v) AS v_min, max(v) AS v_max, round(avg(v), 4) AS v_mean, count(*) AS n, CAST(256 AS BIGINT) AS n_bytes FROM px GROUP BY image_id")
 def image_stats(spark, d):
     mean = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x) / F.size("pixels")
@@ -319,10 +353,9 @@ def fill_holes(spark, d):
 
 @query("or_merge_masks", f"WITH {PX} SELECT image_id // 4 AS group_id, r, c, CAST(max(CASE WHEN v > 2500 THEN 1 ELSE 0 END) AS INTEGER) AS v FROM px GROUP BY 1, r, c")
 def or_merge_masks(spark, d):
-    """Masks of four neighbouring images merged: 1 where any has a bright pixel. Merged in the row form, one array a group and task."""
-    m = _mask(images(spark, d), 2500).select(F.floor(F.col("image_id") / 4).cast("bigint").alias("image_id"), "w", "pixels")
-    px = m.select("image_id", "w", F.posexplode("pixels").alias("pos", "x")).groupBy("image_id", "pos", "w").agg(F.max("x").cast("int").alias("v"))
-    return px.select(F.col("image_id").alias("group_id"), F.floor(F.col("pos") / F.col("w")).cast("int").alias("r"), F.pmod("pos", "w").cast("int").alias("c"), "v")
+    """Masks of four neighbouring images merged: 1 where any has a bright pixel."""
+    m = _mask(images(spark, d), 2500).select(F.floor(F.col("image_id") / 4).cast("bigint").alias("group_id"), "h", "w", "pixels")
+    return to_px(merge_masks(m, "group_id").withColumnRenamed("group_id", "image_id"), cast="int").withColumnRenamed("image_id", "group_id")
 
 
 @query("mask_and_not", f"WITH {PX} SELECT image_id, r, c FROM px WHERE v > 2000 AND NOT v > 2200")
@@ -359,18 +392,20 @@ def patch_reconstruct(spark, d):
     return _px(untile(tiled(images(spark, d), 3, 0)), None)
 
 
-@query("sliding_patches", f"""WITH {PX}, big AS (SELECT image_id // 16 AS image_id, (image_id % 16) // 4 * 8 + r AS r, image_id % 4 * 8 + c AS c, v FROM px),
- full_ AS (SELECT image_id FROM big GROUP BY image_id HAVING count(*) = 1024),
+@query("sliding_patches", f"""WITH {PX}, g AS (SELECT DISTINCT image_id // 16 AS image_id FROM px), big AS (SELECT image_id // 16 AS image_id, (image_id % 16) // 4 * 8 + r AS r, image_id % 4 * 8 + c AS c, v FROM px),
  offs AS (SELECT unnest(range(0, 32, 8)) AS x)
- SELECT b.image_id, CAST(y.x AS INTEGER) AS row_off, CAST(x.x AS INTEGER) AS col_off, sum(v) AS pixel_sum, (y.x + 16 > 32 OR x.x + 16 > 32) AS is_padded
- FROM big b JOIN full_ USING (image_id) CROSS JOIN offs y CROSS JOIN offs x WHERE r >= y.x AND r < y.x + 16 AND c >= x.x AND c < x.x + 16 GROUP BY ALL""")
+ SELECT g.image_id, CAST(y.x // 8 * 4 + x.x // 8 AS INTEGER) AS patch_idx, CAST(y.x AS INTEGER) AS row_off, CAST(x.x AS INTEGER) AS col_off, coalesce(sum(v), 0.0) AS pixel_sum, (y.x + 16 > 32 OR x.x + 16 > 32) AS is_padded
+ FROM g CROSS JOIN offs y CROSS JOIN offs x LEFT JOIN big b ON b.image_id = g.image_id AND r >= y.x AND r < y.x + 16 AND c >= x.x AND c < x.x + 16 GROUP BY ALL""")
 def sliding_patches(spark, d):
-    """16 x 16 patches at every 8th row and column of 32 x 32 mosaics; those beyond the edge are zero-padded."""
-    m = mosaic(images(spark, d), 4)
-    at = m.withColumn("row_off", F.explode(F.sequence(F.lit(0), F.col("h") - 1, F.lit(8)))).withColumn("col_off", F.explode(F.sequence(F.lit(0), F.col("w") - 1, F.lit(8))))
-    line = lambda i: F.slice("pixels", (i * F.col("w") + F.col("col_off") + 1).cast("int"), F.least(F.lit(16), F.col("w") - F.col("col_off")))
-    rows = F.flatten(F.transform(F.sequence(F.col("row_off"), F.least(F.col("row_off") + 15, F.col("h") - 1)), line))
-    return at.select("image_id", "row_off", "col_off", _total(rows).alias("pixel_sum"), ((F.col("row_off") + 16 > F.col("h")) | (F.col("col_off") + 16 > F.col("w"))).alias("is_padded"))
+    """16 x 16 patches at every 8th row and column of 32 x 32 mosaics of all images; those beyond the edge are zero-padded."""
+    p = R.sliding_patches(mosaic(images(spark, d), 4), 16, 8)
+    return p.select("image_id", "patch_idx", "row_off", "col_off", _total(F.col("pixels")).alias("pixel_sum"), "is_padded")
+
+
+@query("patch_to_image", f"WITH {PX} SELECT image_id, r - 3 AS r, c - 6 AS c, v FROM px WHERE r >= 3 AND r < 6 AND c >= 6")
+def patch_to_image(spark, d):
+    """The second tile of the last column of every image, as an image of its own."""
+    return _px(tiled(images(spark, d), 3, 0).where("row_idx = 1 and col_idx = 2").select("image_id", "h", "w", "pixels"), None)
 
 
 @query("roi_from_center", f"""WITH b AS (SELECT vec_id AS image_id, vec_id % 8 AS cx, vec_id // 8 % 8 AS cy, 1 + vec_id % 3 AS half FROM embeddings)
@@ -384,14 +419,11 @@ def roi_from_center(spark, d):
     return i.select("image_id", *[c.cast("int").alias(n) for n, c in box_from_center(cx, cy, half, F.col("h"), F.col("w")).items()])
 
 
-def _crop(df: DataFrame, keep: Column) -> DataFrame:
-    return _px(df, None).where(keep)
-
-
 @query("roi_bbox_crop", f"WITH {PX} SELECT image_id, r - 2 AS r, c - 1 AS c, v FROM px WHERE r >= 2 AND r < 6 AND c >= 1 AND c < 7")
 def roi_bbox_crop(spark, d):
     """Half-open box [1, 2, 7, 6] of every image, with offsets from its corner."""
-    return _crop(images(spark, d), F.expr("r >= 2 and r < 6 and c >= 1 and c < 7")).select("image_id", (F.col("r") - 2).alias("r"), (F.col("c") - 1).alias("c"), "v")
+    boxed = images(spark, d).selectExpr("*", "1 x_min", "2 y_min", "7 x_max", "6 y_max")
+    return _px(R.crop(boxed), None)
 
 
 TRIANGLE = [(0.5, 0.5), (6.5, 2.5), (2.5, 7.5)]  # (row, column), off the pixels' centres
@@ -416,20 +448,18 @@ def roi_polygon_crop(spark, d):
 def roi_mask_crop(spark, d):
     """Tight crop around a mask's pixels, zero outside the mask; an empty mask gives nothing."""
 
-    def run(ids, x):
-        rows = {"image_id": [], "r": [], "c": [], "v": []}
+    def box(ids, x):
+        cols = {k: [] for k in ("image_id", "x_min", "y_min", "x_max", "y_max")}
         for i, one in zip(ids, x):
             r, c = np.nonzero(one > LEVEL)
             if len(r):
-                part = np.where(one > LEVEL, one, 0)[r.min() : r.max() + 1, c.min() : c.max() + 1]
-                rr, cc = np.indices(part.shape)
-                for k, v in zip(rows, (np.full(part.size, i), rr.ravel().astype(np.int32), cc.ravel().astype(np.int32), part.ravel())):
-                    rows[k].append(v)
-        return {k: np.concatenate(v) if v else np.zeros(0, {"image_id": np.int64, "v": float}.get(k, np.int32)) for k, v in rows.items()}
-
-    from rasterloom.operators.raster import describe_images
+                for k, v in zip(cols, (i, c.min(), r.min(), c.max() + 1, r.max() + 1)):
+                    cols[k].append(v)
+        return {k: np.array(v, np.int64 if k == "image_id" else np.int32) for k, v in cols.items()}
 
-    return describe_images(images(spark, d), run, "image_id bigint, r int, c int, v double")
+    i = images(spark, d)
+    kept = i.withColumn("pixels", F.transform("pixels", lambda v: F.when(v > LEVEL, v).otherwise(0.0)))
+    return _px(R.crop(kept.join(describe_images(i, box, "image_id bigint, x_min int, y_min int, x_max int, y_max int"), "image_id")), None)
 
 
 @query("collate_pad", f"""WITH {PX}, s AS (SELECT image_id, 4 + image_id % 5 AS h, 3 + image_id % 6 AS w, image_id // 8 AS batch FROM (SELECT DISTINCT image_id FROM px)),
@@ -444,15 +474,6 @@ def collate_pad(spark, d):
     return collate(small, F.floor(F.col("image_id") / 8)).select("image_id", "h", "w", _total(F.col("pixels")).alias("pixel_sum"), F.size("pixels").cast("bigint").alias("n"))
 
 
-def collate(df: DataFrame, batch: Column) -> DataFrame:
-    """Right and bottom zero-padding to the largest height and width of each batch."""
-    b = df.withColumn("batch", batch)
-    top = b.groupBy("batch").agg(F.max("h").alias("bh"), F.max("w").alias("bw"))
-    cell = lambda p: F.when((F.floor(p / F.col("bw")) < F.col("h")) & (F.pmod(p, F.col("bw")) < F.col("w")), F.element_at("pixels", (F.floor(p / F.col("bw")) * F.col("w") + F.pmod(p, F.col("bw")) + 1).cast("int"))).otherwise(0.0)
-    filled = b.join(top, "batch").withColumn("pixels", F.transform(F.sequence(F.lit(0), F.col("bh") * F.col("bw") - 1), cell))
-    return filled.select("image_id", "batch", F.col("bh").alias("h"), F.col("bw").alias("w"), "pixels")
-
-
 def _grid(h: int, w: int) -> str:
     return f"(SELECT CAST(a.x AS INTEGER) AS r, CAST(b.x AS INTEGER) AS c FROM (SELECT unnest(range({h})) AS x) a, (SELECT unnest(range({w})) AS x) b)"
 
@@ -547,45 +568,173 @@ def pfcm_3it(spark, d):
     return _stats(M.pfcm_statistics(images(spark, d), iterations=3, fcm_iterations=3, tol=0.0, seed=None)).select("image_id", "cluster", "centroid")
 
 
-query("kmeans_full")(lambda spark, d: M.kmeans_statistics(images(spark, d)))
-query("fcm_full")(lambda spark, d: M.fcm_statistics(images(spark, d)))
-query("pfcm_full")(lambda spark, d: M.pfcm_statistics(images(spark, d)))
+def _md5_uniform(seed: str, i: int) -> str:
+    return f"(CAST('0x' || md5(CAST({seed} AS VARCHAR) || ':{i}')[1:8] AS BIGINT) / 4294967296.0)"
+
+
+def kmeans_run(src: str, keys: str, seed: str | None, out: str = "km") -> str:
+    """CTEs: two-means of the lists z of ``src`` (keys, z) until the centroids rest; ``out`` has keys, z, a, b (centroids) and za (pixels of the first), of the last step.
+
+    ``seed``: an expression for starts by squared distance, None for the extremes.
+    """
+    first, again = _md5_uniform(seed, 0) if seed else "", _md5_uniform(seed, 1) if seed else ""
+    start = (
+        f"SELECT {keys}, z, list_min(z) AS a, list_max(z) AS b FROM {src}"
+        if seed is None
+        else f"SELECT {keys}, z, a, CASE WHEN t[len(z)] > 0 THEN z[len(list_filter(t, lambda x: x <= {again} * t[len(z)])) + 1] ELSE z[1 + CAST(floor({again} * len(z)) AS BIGINT)] END AS b FROM (SELECT *, list_transform(range(1, len(z) + 1), lambda i: list_sum(d[1:i])) AS t FROM (SELECT *, list_transform(z, lambda x: (x - a) * (x - a)) AS d FROM (SELECT *, z[1 + CAST(floor({first} * len(z)) AS BIGINT)] AS a FROM {src})))"
+    )
+    near = "(x - a) * (x - a) <= (x - b) * (x - b)"
+    return f"""{out}_0 AS ({start}),
+ {out}_r({keys}, z, a, b, za, i, moved) AS (SELECT {keys}, z, CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST([] AS DOUBLE[]), 0, 1e300 FROM {out}_0 UNION ALL
+  SELECT {keys}, z, na, nb, za, i + 1, sqrt((na - a) * (na - a) + (nb - b) * (nb - b)) FROM (SELECT {keys}, z, a, b, i, l AS za, coalesce(list_sum(l) / len(l), a) AS na, coalesce(list_sum(m) / len(m), b) AS nb FROM (SELECT *, list_filter(z, lambda x: {near}) AS l, list_filter(z, lambda x: NOT ({near})) AS m FROM {out}_r WHERE i < 100 AND moved >= 1e-4))),
+ {out} AS (SELECT * FROM {out}_r QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY i DESC) = 1)"""
+
+
+_Z = "zs AS (SELECT image_id, list(v ORDER BY r, c) AS z FROM px GROUP BY image_id)"
+_IMAGE_SEED = "42 * 1000003 + image_id"
+
+
+@query("kmeans_full", f"WITH RECURSIVE {PX}, {_Z}, {kmeans_run('zs', 'image_id', _IMAGE_SEED)} SELECT image_id, CAST(k AS INTEGER) AS cluster, round(CASE k WHEN 0 THEN a ELSE b END, 3) AS centroid, CASE k WHEN 0 THEN len(za) ELSE 64 - len(za) END AS pixels, CASE k WHEN 0 THEN a >= b ELSE b > a END AS is_mc FROM km, (SELECT unnest(range(2)) AS k)")
+def kmeans_full(spark, d):
+    """Seeded k-means++ starts, at most 100 steps."""
+    return _stats(M.kmeans_statistics(images(spark, d)))
+
+
+def fcm_run(seeded: bool, keep: str = "fc") -> str:
+    """CTEs: fuzzy two-means of zs (image_id, z) until the memberships rest: ``fc`` (image_id, z, u, w: memberships, a, b: centroids)."""
+    salt = f"CAST('0x' || md5(CAST({_IMAGE_SEED} AS VARCHAR) || ':0')[1:8] AS BIGINT)"
+    raw = lambda j: f"list_transform(range(1, 65), lambda i: (((i - 1) * 2 + {j + 1}) * 2654435761 + s) % 4294967296 / 4294967296.0)"
+    inv = lambda m: f"list_transform(z, lambda x: 1.0 / ((x - {m}) * (x - {m}) + 1e-10))"
+    start = f"SELECT image_id, z, {raw(0)} AS p, {raw(1)} AS q FROM (SELECT *, {salt} AS s FROM zs)" if seeded else f"SELECT image_id, z, {inv('list_min(z)')} AS p, {inv('list_max(z)')} AS q FROM zs"
+    share = lambda x, y: f"list_transform(range(1, 65), lambda i: {x}[i] / ({x}[i] + {y}[i]))"
+    mean = lambda u: f"list_sum(list_transform(range(1, 65), lambda i: {u}[i] * {u}[i] * z[i])) / (list_sum(list_transform({u}, lambda x: x * x)) + 1e-10)"
+    return f"""f0 AS (SELECT image_id, z, {share('p', 'q')} AS u, {share('q', 'p')} AS w FROM ({start})),
+ fr(image_id, z, u, w, a, b, i, moved) AS (SELECT image_id, z, u, w, {mean('u')}, {mean('w')}, 0, 1e300 FROM f0 UNION ALL
+  SELECT image_id, z, nu, nw, {mean('nu')}, {mean('nw')}, i + 1, sqrt(list_sum(list_transform(range(1, 65), lambda i: (nu[i] - u[i]) * (nu[i] - u[i]) + (nw[i] - w[i]) * (nw[i] - w[i]))))
+  FROM (SELECT *, {share('p', 'q')} AS nu, {share('q', 'p')} AS nw FROM (SELECT *, {inv('a')} AS p, {inv('b')} AS q FROM fr WHERE i < 100 AND moved >= 1e-3))),
+ {keep} AS (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY i DESC) = 1)"""
+
+
+_FUZZY = "CAST(k AS INTEGER) AS cluster, round(CASE k WHEN 0 THEN a ELSE b END, 3) AS centroid, len(list_filter(range(1, 65), lambda i: CASE k WHEN 0 THEN u[i] >= w[i] ELSE u[i] < w[i] END)) AS pixels, CASE k WHEN 0 THEN a >= b ELSE b > a END AS is_mc"
+
+
+@query("fcm_full", f"WITH RECURSIVE {PX}, {_Z}, {fcm_run(True)} SELECT image_id, {_FUZZY} FROM fc, (SELECT unnest(range(2)) AS k)")
+def fcm_full(spark, d):
+    """Seeded memberships, at most 100 steps."""
+    return _stats(M.fcm_statistics(images(spark, d)))
+
+
+def pfcm_run(seeded: bool) -> str:
+    """CTEs: possibilistic fuzzy two-means after the fuzzy ones: ``pf`` (image_id, z, u, w, s, t: typicalities, a, b)."""
+    sq = lambda m: f"list_transform(z, lambda x: (x - {m}) * (x - {m}))"
+    typ = lambda d, u: f"list_transform({d}, lambda x: 1.0 / (1.0 + 4.0 / (list_sum(list_transform(range(1, 65), lambda i: {u}[i] * {u}[i] * {d}[i])) / (list_sum(list_transform({u}, lambda y: y * y)) + 1e-10) + 1e-10) * x + 1e-10))"
+    mean = lambda u, t: f"list_sum(list_transform(range(1, 65), lambda i: ({u}[i] * {u}[i] + 4.0 * {t}[i] * {t}[i]) * z[i])) / (list_sum(list_transform(range(1, 65), lambda i: {u}[i] * {u}[i] + 4.0 * {t}[i] * {t}[i])) + 1e-10)"
+    share = lambda x, y: f"list_transform(range(1, 65), lambda i: (1.0 / ({x}[i] + 1e-10)) / (1.0 / ({x}[i] + 1e-10) + 1.0 / ({y}[i] + 1e-10)))"
+    return f"""{fcm_run(seeded)},
+ pr(image_id, z, u, w, s, t, a, b, i, moved) AS (SELECT image_id, z, u, w, {typ('da', 'u')}, {typ('db', 'w')}, a, b, 0, 1e300 FROM (SELECT *, {sq('a')} AS da, {sq('b')} AS db FROM fc) UNION ALL
+  SELECT image_id, z, nu, nw, ns, nt, a, b, i + 1, sqrt(list_sum(list_transform(range(1, 65), lambda i: (ns[i] - s[i]) * (ns[i] - s[i]) + (nt[i] - t[i]) * (nt[i] - t[i]))))
+  FROM (SELECT *, {typ('da', 'nu')} AS ns, {typ('db', 'nw')} AS nt FROM (SELECT *, {share('da', 'db')} AS nu, {share('db', 'da')} AS nw FROM (SELECT image_id, z, s, t, i, a, b, {sq('a')} AS da, {sq('b')} AS db FROM
+   (SELECT image_id, z, s, t, i, {mean('u', 's')} AS a, {mean('w', 't')} AS b FROM pr WHERE i < 100 AND moved >= 1e-3))))),
+ pf AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY i DESC) = 1)"""
+
+
+@query("pfcm_full", f"WITH RECURSIVE {PX}, {_Z}, {pfcm_run(True)} SELECT image_id, {_FUZZY} FROM pf, (SELECT unnest(range(2)) AS k)")
+def pfcm_full(spark, d):
+    return _stats(M.pfcm_statistics(images(spark, d)))
+
 
 # -- Gabor -------------------------------------------------------------------------------------------------
 
-_GABOR = stencil("px", 6, "replicate", "sum({n} * exp(-(o.dc * o.dc + o.dr * o.dr) / 8.0) * cos(2 * pi() * 0.25 * (o.dc * sin(k.x * pi() / 4) + o.dr * cos(k.x * pi() / 4))))").replace("SELECT p.image_id", "SELECT k.x AS kernel_id, p.image_id", 1).replace("LEFT JOIN", "CROSS JOIN (SELECT unnest(range(4)) AS x) k LEFT JOIN", 1).replace("GROUP BY", "GROUP BY k.x,", 1)
+_BANK = """bank AS (SELECT CAST(m * 6 + n AS INTEGER) AS kernel_id, dr, dc, exp(-(dc * dc + dr * dr) / (2 * s * s)) * cos(2 * pi() * f * (dc * sin(n * pi() / 6) + dr * cos(n * pi() / 6))) AS w
+  FROM (SELECT m, f, 1.0 / (2 * f) AS s, CAST(ceil(3.0 / f) AS INTEGER) + 1 - CAST(ceil(3.0 / f) AS INTEGER) % 2 AS k FROM (SELECT m, 0.25 / pow(sqrt(2.0), m) AS f FROM (SELECT unnest(range(3)) AS m))), (SELECT unnest(range(6)) AS n),
+  (SELECT unnest(range(-12, 13)) AS dr), (SELECT unnest(range(-12, 13)) AS dc) WHERE abs(dr) <= k // 2 AND abs(dc) <= k // 2),
+ op AS (SELECT kernel_id, r, c, least(greatest(r + dr, 0), 7) AS r2, least(greatest(c + dc, 0), 7) AS c2, sum(w) AS w FROM bank, (SELECT unnest(range(8)) AS r), (SELECT unnest(range(8)) AS c) GROUP BY ALL),
+ g AS (SELECT image_id, kernel_id, op.r, op.c, sum(v * w) AS v FROM px JOIN op ON px.r = op.r2 AND px.c = op.c2 GROUP BY image_id, kernel_id, op.r, op.c)"""
 
 
-@query("gabor_response", f"WITH {PX} SELECT image_id, CAST(kernel_id AS INTEGER) AS kernel_id, round(avg(abs(v)), 4) AS response FROM ({_GABOR}) GROUP BY image_id, kernel_id")
+@query("gabor_response", f"WITH {PX}, {_BANK} SELECT image_id, kernel_id, round(avg(abs(v)), 4) AS response FROM g GROUP BY image_id, kernel_id")
 def gabor_response(spark, d):
-    return M.gabor_means(images(spark, d), 1, 4).withColumn("response", F.round("response", 4))
+    """Mean absolute response to every kernel of the whole bank, three scales and six orientations."""
+    return M.gabor_means(images(spark, d), 3, 6).withColumn("response", F.round("response", 4))
 
 
 _QUANT = "SELECT image_id, kernel_id, r, c, CASE WHEN hi > lo THEN CAST(floor(round((v - lo) / (hi - lo) * 255.0, 6)) AS INTEGER) ELSE 0 END AS q FROM (SELECT image_id, kernel_id, r, c, abs(v) AS v, min(abs(v)) OVER w AS lo, max(abs(v)) OVER w AS hi FROM g WINDOW w AS (PARTITION BY image_id, kernel_id))"
 
 
-@query("gabor_mi", f"""WITH {PX}, g AS ({_GABOR}), q AS ({_QUANT}),
+@query("gabor_mi", f"""WITH {PX}, {_BANK}, q AS ({_QUANT}),
  j AS (SELECT a.image_id, a.kernel_id, a.q AS x, b.q AS y FROM q a JOIN q b ON b.image_id = a.image_id + 1 AND a.kernel_id = b.kernel_id AND a.r = b.r AND a.c = b.c),
  n AS (SELECT *, count(*) OVER (PARTITION BY image_id, kernel_id, x, y) / 64.0 AS pxy, count(*) OVER (PARTITION BY image_id, kernel_id, x) / 64.0 AS p, count(*) OVER (PARTITION BY image_id, kernel_id, y) / 64.0 AS s FROM j)
  SELECT image_id, round(sum(log2(pxy / greatest(p * s, 1e-12))) / 64.0, 4) AS information FROM n GROUP BY image_id""")
 def gabor_mi(spark, d):
-    return M.gabor_information(M.neighbours(images(spark, d)), 1, 4).withColumn("information", F.round("information", 4))
+    return M.gabor_information(M.neighbours(images(spark, d)), 3, 6).withColumn("information", F.round("information", 4))
 
 
-query("grail_window")(lambda spark, d: M.grail_windows(images(spark, d), scales=2, orientations=4))
+query("grail_window")(lambda spark, d: M.grail_windows(images(spark, d)))
 
 # -- pipelines ------------------------------------------------------------------------------------------------
 
-for _name, _pipe in {
-    "febds_dog": L.Febds("dog"),
-    "febds_log": L.Febds("log"),
-    "febds_fft": L.Febds("fft"),
-    "sbrg": L.Sbrg(),
-    "custom_gauss_otsu": L.Pipeline(lambda x: K.gaussian(x, 2.0), lambda x: K.gaussian(x, 2.0), K.otsu),
-    "roi_top_hat_kmeans": L.Pipeline(lambda x: np.clip(x[:, 1:7, 1:7] / 4095.0, 0, 1), lambda x: K.white_top_hat(x, 1), L.KMeans(seed=None).kernel),
-    "pfcm_mask": L.Pfcm(seed=None),
-}.items():
-    query(_name)(lambda spark, d, p=_pipe: _px(p(images(spark, d))))
+_BASE = PX.replace("px AS (", "p0 AS (", 1)
+
+
+def otsu_above(src: str, out: str) -> str:
+    """CTEs: ``out`` with 1 above the Otsu threshold of ``src``."""
+    body = OTSU.split(",\n ext AS", 1)[1]
+    names = ("ext", "cfg", "binned", "hist", "cum", "best", "otsu")
+    body = "ext AS" + body
+    for n in names:
+        body = re.sub(rf"\b{n}\b", f"{n}_{out}", body)
+    return re.sub(r"\bpx\b", src, body) + f", {out} AS (SELECT image_id, r, c, CASE WHEN v > threshold THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM {src} JOIN otsu_{out} USING (image_id))"
+
+
+_TWICE = f"WITH {_BASE}, ga AS ({gaussian_sql('p0', 2.0)}), gb AS ({gaussian_sql('ga', 2.0)}), {otsu_above('gb', 'ob')} SELECT image_id, r, c, v FROM ob"
+query("custom_gauss_otsu", _TWICE)(lambda spark, d: _px(L.Pipeline(lambda x: K.gaussian(x, 2.0), lambda x: K.gaussian(x, 2.0), K.otsu)(images(spark, d))))
+
+
+def febds_sql(first: str, binary: str) -> str:
+    """The steps after the edge boost ``e`` (CTEs ``first``): median, gamma, binarisation, closing, hole filling."""
+    return f"""WITH RECURSIVE {_BASE}, {first}, md AS ({stencil('e', 2, 'reflect', 'median({n})')}), gm AS (SELECT image_id, r, c, pow(v / 4095.0, 1.25) * 4095.0 AS v FROM md), {binary},
+ dl AS ({stencil('bi', 3, 'zero', 'max({n})')}), cl AS ({stencil('dl', 3, 'zero', 'min({n})')}), {components_sql('v = 0', 'cl')},
+ rim AS (SELECT DISTINCT image_id, root FROM comp WHERE r IN (0, 7) OR c IN (0, 7)), out_ AS (SELECT image_id, r, c FROM comp JOIN rim USING (image_id, root))
+ SELECT p.image_id, p.r, p.c, CASE WHEN o.r IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM cl p LEFT JOIN out_ o ON p.image_id = o.image_id AND p.r = o.r AND p.c = o.c"""
+
+
+_VARIANCE = f"lv AS ({stencil('gm', 2, 'reflect', 'var_samp({n})')}), gv AS (SELECT image_id, var_samp(v) AS g FROM gm GROUP BY image_id), bi AS (SELECT image_id, r, c, CASE WHEN v * v >= g * g THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM lv JOIN gv USING (image_id))"
+_DOG = f"ga AS ({gaussian_sql('p0', 1.7)}), gb AS ({gaussian_sql('p0', 2.0)}), e AS (SELECT image_id, r, c, abs(ga.v - gb.v) AS v FROM ga JOIN gb USING (image_id, r, c))"
+_LOG = f"ga AS ({gaussian_sql('p0', 2.0)}), gl AS ({stencil('ga', 1, 'reflect', 'sum({n} * (' + kernel_case(K.LAPLACE.tolist()) + '))')}), e AS (SELECT image_id, r, c, abs(v) AS v FROM gl)"
+_FFT = f"{re.sub(r'\bpx\b', 'p0', _DFT)}, fb AS (SELECT image_id, r, c, re * w AS re, im * w AS im FROM (SELECT *, {_BW} AS w FROM (SELECT *, sqrt(pow(c - 4.0, 2) + pow(r - 4.0, 2)) AS d FROM f2))), {_INV}, e AS (SELECT image_id, r, c, abs(re) AS v FROM i2)"
+query("febds_dog", febds_sql(_DOG, otsu_above("gm", "bi")))(lambda spark, d: _px(L.Febds("dog")(images(spark, d))))
+query("febds_log", febds_sql(_LOG, otsu_above("gm", "bi")))(lambda spark, d: _px(L.Febds("log")(images(spark, d))))
+query("febds_fft", febds_sql(_FFT, _VARIANCE))(lambda spark, d: _px(L.Febds("fft")(images(spark, d))))
+
+# The first 64 numbers of NumPy's generator of seed 42; an 8 x 8 image has no more maxima.
+_DRAWN = ", ".join(f"({i + 1}, {v!r}::DOUBLE)" for i, v in enumerate(np.random.RandomState(42).random(64).tolist()))
+_SOBEL = "sqrt((pow(sum({n} * o.dr * (2 - abs(o.dc))) / 8, 2) + pow(sum({n} * o.dc * (2 - abs(o.dr))) / 8, 2)) / 2)"
+
+
+@query("sbrg", f"""WITH RECURSIVE {PX}, drawn(k, u) AS (VALUES {_DRAWN}), flat AS (SELECT image_id FROM px GROUP BY image_id HAVING min(v) = max(v)),
+ low(image_id, r, c, v) AS (SELECT DISTINCT p.image_id, p.r, p.c, p.v FROM px p JOIN px q ON {_NEAR8} WHERE q.v > p.v UNION SELECT p.image_id, p.r, p.c, p.v FROM px p JOIN low q ON {_NEAR8} AND p.v = q.v),
+ peak AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY r, c) AS k FROM (SELECT px.* FROM px ANTI JOIN low USING (image_id, r, c)) WHERE image_id NOT IN (SELECT image_id FROM flat)),
+ gap AS (SELECT image_id, coalesce(min(g) FILTER (WHERE g > 0), 1e-6) AS gap FROM (SELECT image_id, v - lag(v) OVER (PARTITION BY image_id ORDER BY v) AS g FROM peak) GROUP BY image_id),
+ lifted AS (SELECT p.image_id, p.r, p.c, p.v, p.v + u * gap AS t FROM peak p JOIN gap USING (image_id) JOIN drawn USING (k)),
+ lead AS (SELECT * FROM lifted p WHERE t > 0 AND NOT EXISTS (SELECT 1 FROM lifted q WHERE {_NEAR8} AND q.t > p.t)),
+ seed AS (SELECT px.image_id, coalesce(any_value(l.m), any_value(pk.m), avg(px.v)) AS s FROM px LEFT JOIN (SELECT image_id, avg(v) AS m FROM lead GROUP BY image_id) l USING (image_id) LEFT JOIN (SELECT image_id, avg(v) AS m FROM peak GROUP BY image_id) pk USING (image_id) GROUP BY px.image_id),
+ grown AS (SELECT image_id, r, c, CASE WHEN v >= s THEN 1.0 ELSE 0.0 END AS v FROM px JOIN seed USING (image_id)), so AS ({stencil('grown', 1, 'symmetric', _SOBEL)}), ed AS (SELECT image_id, r, c, CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END AS v FROM so),
+ dl AS ({stencil('ed', 2, 'zero', 'max({n})')}), er AS ({stencil('dl', 2, 'zero', 'min({n})')}) SELECT image_id, r, c, CASE WHEN v > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM er""")
+def sbrg(spark, d):
+    return _px(L.Sbrg()(images(spark, d)))
+
+
+_ROI = f"""WITH RECURSIVE {_BASE}, roi AS (SELECT image_id, r - 1 AS r, c - 1 AS c, least(greatest(v / 4095.0, 0), 1) AS v FROM p0 WHERE r BETWEEN 1 AND 6 AND c BETWEEN 1 AND 6),
+ e AS ({stencil('roi', 1, 'zero', 'min({n})')}), o AS ({stencil('e', 1, 'zero', 'max({n})')}), px AS (SELECT image_id, r, c, greatest(roi.v - o.v, 0) AS v FROM roi JOIN o USING (image_id, r, c)), {_Z}, {kmeans_run('zs', 'image_id', None)}"""
+#: 1 in the brightest cluster; a place's cluster is that of the last step's pixels, by value.
+_BRIGHT = "CASE WHEN CASE WHEN list_contains(za, v) THEN a ELSE b END = greatest(a, b) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+query("roi_top_hat_kmeans", _ROI + f" SELECT image_id, r, c, {_BRIGHT} AS v FROM px JOIN km USING (image_id)")(
+    lambda spark, d: _px(L.Pipeline(lambda x: np.clip(x[:, 1:7, 1:7] / 4095.0, 0, 1), lambda x: K.white_top_hat(x, 1), L.KMeans(seed=None).kernel)(images(spark, d)))
+)
+query("pfcm_mask", f"""WITH RECURSIVE {PX}, {_Z}, {pfcm_run(False)} SELECT image_id, r, c, CASE WHEN greatest(s[r * 8 + c + 1], t[r * 8 + c + 1]) < 0.04 AND NOT (CASE WHEN u[r * 8 + c + 1] >= w[r * 8 + c + 1] THEN a <= b ELSE b < a END) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM px JOIN pf USING (image_id)""")(
+    lambda spark, d: _px(L.Pfcm(seed=None)(images(spark, d)))
+)
 _E4 = stencil("px", 4, "zero", "min({n})")
 query("top_hat_r4", f"WITH {PX}, e AS ({_E4}), o AS ({stencil('e', 4, 'zero', 'max({n})')}) SELECT image_id, r, c, greatest(px.v - o.v, 0) AS v FROM px JOIN o USING (image_id, r, c)")(lambda spark, d: _px(L.TopHat(4)(images(spark, d))))
-query("patch_kmeans")(lambda spark, d: _px(L.per_patch_kmeans(images(spark, d), 4)))
+_TILED = f"""WITH RECURSIVE {PX}, tile AS (SELECT image_id * 4 + r // 4 * 2 + c // 4 AS tile_id, image_id, r, c, v FROM px), zs AS (SELECT tile_id, list(v ORDER BY r, c) AS z FROM tile GROUP BY tile_id), {kmeans_run('zs', 'tile_id', '42 * 1000003')}"""
+query("patch_kmeans", _TILED + f" SELECT image_id, r, c, CASE WHEN list_stddev_pop(z) < 1e-6 THEN v ELSE {_BRIGHT} END AS v FROM tile JOIN km USING (tile_id)")(lambda spark, d: _px(L.per_patch_kmeans(images(spark, d), 4)))

@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from rasterloom.errors import EngineError
 
 
+#: Bytes of one Arrow batch to a Python worker: a batch of whole images is cut by its size, not only by its rows.
+MOST_BATCH_BYTES = 64 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of the input folder."""
     ship_package(spark)
@@ -56,7 +61,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application.
+    """Send this package to the executors' Python workers and bound Arrow batches by bytes, once per application.
 
     With that, vectorised functions work on clusters whose nodes do not have the
     package on their path.
@@ -64,6 +69,8 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_rasterloom_shipped", False):
         return
+    if int(spark.conf.get(_BATCH_BYTES, str(2**31 - 1))) > MOST_BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(MOST_BATCH_BYTES))
     root = pathlib.Path(__file__).parent
     name = os.path.join(tempfile.mkdtemp(prefix="rasterloom-"), "rasterloom.zip")
     with zipfile.ZipFile(name, "w") as z:

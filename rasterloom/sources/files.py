@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from rasterloom.errors import EngineError, FileMissing, PixelsNotLoaded, UnsupportedFile
+from rasterloom.operators.raster import fold
 from rasterloom.sources import codecs
 
 HEADER_DDL = "file_path string, h int, w int, bits_stored int, window_center double, window_width double"
@@ -77,25 +78,64 @@ def read_masks(spark: SparkSession, root: str, pattern: str = "*.{tif,TIF,tiff,d
     return read_images(spark, root, pattern).where("pixels is not null and c = 1").select("file_path", "h", "w", F.transform("pixels", lambda v: F.when(v > 0, 1.0).otherwise(0.0)).alias("pixels"))
 
 
+#: Bytes of partly merged masks that a task holds before it passes them on.
+MERGE_BYTES = 256 << 20
+
+
 def merge_masks(masks: DataFrame, key: str) -> DataFrame:
     """One mask a key: the masks OR-ed, aligned at the top left, as large as the largest.
 
-    Only foreground pixels are shuffled.
+    Masks are merged where they lie, as far as MERGE_BYTES goes, and the rest
+    after one shuffle, mask after mask, so a key with most of the masks is
+    never gathered. Null keys, null pixels and pixels that don't fit their size
+    give nothing.
     """
-    size = masks.groupBy(key).agg(F.max("h").alias("h"), F.max("w").alias("w"))
-    on = masks.select(key, F.col("w").alias("__w"), F.posexplode("pixels").alias("pos", "v")).where("v > 0").select(key, F.floor(F.col("pos") / F.col("__w")).alias("r"), F.pmod("pos", "__w").alias("c")).distinct()
-    placed = on.join(size, key).groupBy(key).agg(F.collect_set((F.col("r") * F.col("w") + F.col("c")).cast("int")).alias("on"))
-
-    def fill(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            keys, h, w, on_ = (b.column(i).to_pylist() for i in range(4))
-            for i in range(b.num_rows):
-                x = np.zeros(h[i] * w[i])
-                x[on_[i] or []] = 1
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([h[i]], pa.int32()), pa.array([w[i]], pa.int32()), pa.array([x], pa.list_(pa.float64()))], names=[key, "h", "w", "pixels"])
-
     kind = dict(masks.dtypes)[key]
-    return size.join(placed, key, "left").select(key, "h", "w", "on").mapInArrow(fill, f"`{key}` {kind}, h int, w int, pixels array<double>")
+    rows = masks.where(F.col(key).isNotNull() & (F.size("pixels") == F.col("h") * F.col("w"))).select(F.col(key).alias("key"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), F.col("pixels").cast("array<double>").alias("pixels"))
+    ddl = f"key {kind}, h int, w int, pixels array<tinyint>"
+
+    def onto(out: np.ndarray, row: dict, pixels: np.ndarray) -> np.ndarray:
+        h, w = row["h"], row["w"]
+        if h > out.shape[0] or w > out.shape[1]:
+            out = np.pad(out, ((0, max(h - out.shape[0], 0)), (0, max(w - out.shape[1], 0))))
+        out[:h, :w] |= pixels.reshape(h, w) > 0
+        return out
+
+    def batch(keys: pa.Array, x: np.ndarray, form: pa.DataType) -> pa.RecordBatch:
+        listed = pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(x.ravel().astype(np.int8)).cast(form))
+        return pa.RecordBatch.from_arrays([keys, *[pa.array([v], pa.int32()) for v in x.shape], listed], names=["key", "h", "w", "pixels"])
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        size = 0
+        for b in batches:
+            keys, h, w = (b.column(i).to_pylist() for i in range(3))
+            for i in range(b.num_rows):
+                before = held.get(keys[i], np.zeros((0, 0), bool))
+                held[keys[i]] = after = onto(before, {"h": h[i], "w": w[i]}, b.column(3)[i].values.to_numpy(zero_copy_only=False))
+                size += after.nbytes - before.nbytes
+                if size > MERGE_BYTES:
+                    yield from (batch(pa.array([k], b.column(0).type), x, pa.int8()) for k, x in held.items())
+                    held, size = {}, 0
+            form = b.column(0).type
+        if held:
+            yield from (batch(pa.array([k], form), x, pa.int8()) for k, x in held.items())
+
+    parts = rows.mapInArrow(here, ddl).repartition("key").sortWithinPartitions("key")
+    folded = fold(parts, "key", lambda row: np.zeros((0, 0), bool), onto)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms: list[pa.DataType] = []
+
+        def seen():
+            for b in batches:
+                forms.append(b.column(0).type)
+                yield b
+
+        for k, x in folded(seen()):
+            yield batch(pa.array([k], forms[0]), x, pa.float64())
+
+    return parts.mapInArrow(merge, f"key {kind}, h int, w int, pixels array<double>").withColumnRenamed("key", key)
 
 
 def require_loaded(images: DataFrame) -> DataFrame:

@@ -140,8 +140,11 @@ def test_c15_c16_frequency():
 
 
 def test_n19_gabor_bank():
-    bank = K.gabor_bank(3, 6)
-    assert len(bank) == 18 and [bank[i].shape[0] for i in (0, 6, 12)] == [13, 17, 25]
+    bank = K.GaborBank(3, 6)
+    assert len(bank) == 18 and [bank.dense(i).shape[0] for i in (0, 6, 12)] == [13, 17, 25]
+    at = np.arange(-6, 7.0)
+    y, x = np.meshgrid(at, at, indexing="ij")
+    assert np.allclose(bank.dense(1), np.exp(-(x**2 + y**2) / 8) * np.cos(np.pi / 2 * (x * np.sin(np.pi / 6) + y * np.cos(np.pi / 6))))
 
 
 def test_n21_resize():
@@ -180,9 +183,90 @@ def test_sobel_of_a_ramp():
     assert np.allclose(K.sobel(x)[0, :, 1:-1], 1 / np.sqrt(2))
 
 
-def test_large_images_take_the_fft_path():
-    x = RNG.random((2, 40, 37)) * 4095
-    bank = K.gabor_bank(2, 2)
-    want = np.stack([np.abs(K.correlate(x, k, "replicate")) for k in bank])
-    assert 40 * 37 > K.DENSE_PIXELS and np.allclose(K.gabor_responses(x, bank), want)
-    assert np.allclose(K.gabor_responses(IMG, bank), np.stack([np.abs(K.correlate(IMG, k, "replicate")) for k in bank]))
+@pytest.mark.parametrize("h,w", [(1, 1), (8, 8), (40, 37), (130, 259)])
+def test_gabor_responses_equal_dense_correlation_at_any_size(h, w):
+    x = RNG.random((2, h, w)) * 4095
+    bank = K.GaborBank(3, 2)
+    for k in range(len(bank)):
+        assert np.allclose(bank.response(x, k), np.abs(K.correlate(x, bank.dense(k), "replicate")))
+
+
+def test_information_of_levels():
+    x, y = RNG.integers(0, 5, (2, 3, 9, 7)).astype(np.uint8)
+    for i in range(3):
+        pair, n = np.unique(np.stack((x[i].ravel(), y[i].ravel())), axis=1, return_counts=True)
+        px, py = np.bincount(x[i].ravel()) / 63, np.bincount(y[i].ravel()) / 63
+        want = sum(c / 63 * np.log2(c / 63 / (px[a] * py[b])) for (a, b), c in zip(pair.T, n))
+        assert np.isclose(K.level_information(x, y)[i], want)
+
+
+def brute_grail(image, scales, orientations, delta, rounds):
+    """The search of one image with dense kernels and dictionaries."""
+    bank = [K.GaborBank(scales, orientations).dense(k) for k in range(scales * orientations)]
+    level = lambda v: np.zeros(v.shape, int) if v.max() <= v.min() else np.floor(np.round((v - v.min()) / (v.max() - v.min()) * 255.0, 6)).astype(int)
+    levels = lambda im: [level(np.abs(K.correlate(im[None], k, "replicate"))[0]) for k in bank]
+    whole = levels(image)
+
+    def score(a, b):
+        seen, total = levels(np.clip((image - a) / (b - a if b - a > 0 else 1.0), 0, 1) * 255.0), 0.0
+        for p, q in zip(whole, seen):
+            h = np.zeros((256, 256))
+            np.add.at(h, (p.ravel(), q.ravel()), 1 / image.size)
+            on = h > 0
+            total += (h[on] * np.log2(h[on] / np.outer(h.sum(1), h.sum(0))[on])).sum()
+        return round(total, 9)
+
+    a, b = image.min(), image.max()
+    for _ in range(rounds):
+        tried = [(score(a, b + i * delta), -i, b + i * delta) for i in range(-5, 6) if b + i * delta > a]
+        b = max(tried)[2] if tried else b
+        tried = [(score(a + i * delta, b), -i, a + i * delta) for i in range(-5, 6) if a + i * delta < b]
+        a = max(tried)[2] if tried else a
+        delta = max(delta // 10, 1)
+    return a, b
+
+
+def test_g8_grail_equals_the_plain_search():
+    x = RNG.integers(0, 4096, (3, 9, 11)).astype(float)
+    a, b = K.grail_bounds(x, 2, 3, 300, 2)
+    assert [(p, q) for p, q in zip(a, b)] == [brute_grail(i, 2, 3, 300, 2) for i in x]
+
+
+def test_bands_and_box_sums_equal_the_windows(monkeypatch):
+    x = RNG.integers(0, 4096, (2, 23, 17)).astype(float)
+    v = K.windows(x, 5, 5, "reflect")
+    monkeypatch.setattr(K, "BAND_VALUES", 3000)
+    assert np.array_equal(K.median(x, 5), np.median(v.reshape(*v.shape[:3], -1), axis=-1))
+    v = K.windows(x, 3, 7, "reflect")
+    assert np.allclose(K.local_variance(x, 3, 7), v.reshape(*v.shape[:3], -1).var(axis=-1, ddof=1))
+
+
+def test_a1_histogram():
+    x = RNG.integers(0, 50, (6, 7)).astype(float)
+    assert K.histogram(x, 10, 0, 50).tolist() == np.histogram(x, 10, (0, 50))[0].tolist()
+    assert K.histogram(np.full((2, 2), 3.0), 4, 3, 3).sum() == 4
+
+
+def test_n13_disk():
+    assert K.disk(1).tolist() == [[0, 1, 0], [1, 1, 1], [0, 1, 0]] and K.disk(3).sum() == 29
+
+
+def test_random_starts():
+    u = K.random_memberships(500, 3, 42)
+    assert np.allclose(u.sum(axis=0), 1) and u.std() > 0.1 and np.array_equal(u, K.random_memberships(500, 3, 42))
+    z = np.array([[0.0, 0, 0, 9, 9, 20], [5.0] * 6])
+    c = K.plus_plus_centroids(z, 3, [1, 1])
+    assert sorted(c[0].tolist()) == [0, 9, 20] and c[1].tolist() == [5, 5, 5]
+
+
+def test_one_mammogram_within_bounds():
+    """The size of a real mammogram: no kernel copies its windows."""
+    x = RNG.integers(0, 4096, (1, 1021, 832)).astype(np.float64)
+    import tracemalloc
+
+    tracemalloc.start()
+    for f in (lambda: K.median(x, 5), lambda: K.local_variance(x, 5), lambda: K.GaborBank(1, 1).response(x, 0)):
+        tracemalloc.reset_peak()
+        f()
+        assert tracemalloc.get_traced_memory()[1] < 16 * x.nbytes
+    tracemalloc.stop()

@@ -23,14 +23,3 @@ def test_every_polygon_is_rasterised(spark):
     want = {p.ann_no: raster(p.coordinates[::2], p.coordinates[1::2]) for p in polygons}
     got = {r.ann_no: (r.n_pixels, r.sum_r, r.sum_c) for r in Q.polygon_raster(spark, DIR).collect()}
     assert got == {n: x for n, x in want.items() if x[0]}
-
-
-def test_rows_of_the_oracle_are_among_them(spark):
-    """The SQL covers the polygons with ann_no % 10 = 2."""
-    import duckdb
-
-    c = duckdb.connect()
-    c.sql(f"create view part as select * from '{DIR}/part.parquet'")
-    want = {r[0]: r[1:] for r in c.sql(Q.ORACLES["polygon_raster"]).fetchall()}
-    got = {r.ann_no: (r.n_pixels, r.sum_r, r.sum_c) for r in Q.polygon_raster(spark, DIR).collect() if r.ann_no % 10 == 2}
-    assert got == want and got

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as G
 
 IMAGE_JSON = "file_path string, width int, height int, image_type string, annotations array<struct<shape: string, coordinates: array<double>, label: string, metadata: map<string, string>, center: struct<x: double, y: double>, bounding_box: array<double>>>"
-COCO_JSON = """info struct<description: string, version: string, date_created: string>, licenses array<string>,
- categories array<struct<id: bigint, name: string>>, images array<struct<id: bigint, file_name: string, width: int, height: int>>,
- annotations array<struct<id: bigint, image_id: bigint, category_id: bigint, segmentation: array<array<double>>, bbox: array<double>, area: double, iscrowd: int>>"""
 UNKNOWN = "unknown"
-#: Positions that are numbered in one task; a range is numbered from its offset.
-RANGES = 64
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -29,7 +28,7 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__start")
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return part.withColumn("__i", local).join(F.broadcast(before), "__part").withColumn(name, (F.col("__start") + F.col("__i")).cast("bigint")).drop("__part", "__i", "__start")
+    return part.withColumn("__i", local).join(before, "__part").withColumn(name, (F.col("__start") + F.col("__i")).cast("bigint")).drop("__part", "__i", "__start")
 
 
 def coco_images(images: DataFrame) -> DataFrame:
@@ -68,16 +67,38 @@ def coco_annotations(annotations: DataFrame, images: DataFrame, categories: Data
 def coco_document(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> DataFrame:
     """One row ``json`` with the whole document.
 
-    It is one value and so one task's work; corpora that are too large for that
-    keep the three tables.
+    Every entry becomes a text where it lies; one aggregate puts the texts of
+    the three lists together. The document is one value and so one task's work;
+    corpora that are too large for that keep the three tables.
     """
-    listed = lambda df, cols, order: df.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("x"))
-    i = listed(images, ["id", "file_name", "width", "height"], "id").select(F.col("x").alias("images"))
-    c = listed(categories, ["id", "name"], "id").select(F.col("x").alias("categories"))
-    a = listed(annotations, ["id", "image_id", "category_id", "segmentation", "bbox", "area", "iscrowd"], "id").select(F.col("x").alias("annotations"))
-    info = F.struct(F.lit("annotations").alias("description"), F.lit("1.0").alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("date_created"))
-    one = i.join(F.broadcast(c)).join(F.broadcast(a))  # one row each
-    return one.select(F.to_json(F.struct(info.alias("info"), F.array().cast("array<string>").alias("licenses"), "categories", "images", "annotations")).alias("json"))
+    part = lambda df, name, cols: df.select(F.lit(name).alias("part"), "id", F.to_json(F.struct(*cols)).alias("text"))
+    parts = (
+        part(images, "images", ["id", "file_name", "width", "height"])
+        .unionByName(part(categories, "categories", ["id", "name"]))
+        .unionByName(part(annotations, "annotations", ["id", "image_id", "category_id", "segmentation", "bbox", "area", "iscrowd"]))
+    )
+    listed = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("id", "text")))), lambda x: x["text"]), ",").alias(name)
+    one = parts.agg(listed("images"), listed("categories"), listed("annotations"))
+    info = F.to_json(F.struct(F.lit("annotations").alias("description"), F.lit("1.0").alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("date_created")))
+    lit = F.lit
+    return one.select(F.concat(lit('{"info":'), info, lit(',"licenses":[],"categories":['), "categories", lit('],"images":['), "images", lit('],"annotations":['), "annotations", lit("]}")).alias("json"))
+
+
+def _documents(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    """Readable documents (objects) of the column json."""
+    for f in frames:
+        for text in f["json"]:
+            try:
+                d = json.loads(text) if text else None
+            except ValueError:
+                d = None
+            if isinstance(d, dict):
+                yield {k: [x for x in d.get(k) or [] if isinstance(x, dict)] for k in ("images", "categories", "annotations")}
+
+
+#: Annotations of one batch of an imported document.
+IMPORT_ROWS = 10_000
+IMPORT_DDL = "file_name string, width int, height int, shape string, coordinates array<double>, label string, coco_id bigint"
 
 
 def coco_import(documents: DataFrame) -> DataFrame:
@@ -85,21 +106,54 @@ def coco_import(documents: DataFrame) -> DataFrame:
 
     The first outline becomes a POLYGON; without one the box becomes a
     RECTANGLE. Annotations of unlisted images are dropped, unlisted categories
-    are "unknown"; unreadable texts give nothing.
+    are "unknown", of repeated ids the last counts; unreadable texts give
+    nothing. Ids are looked up in tables, so the work is linear in the document.
     """
-    d = documents.select(F.from_json("json", COCO_JSON).alias("d"))
-    images = F.map_from_entries(F.transform(F.array_distinct(F.transform("d.images", lambda i: i["id"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter("d.images", lambda i: i["id"] == k), -1).alias("v"))))
-    names = F.map_from_entries(F.transform(F.array_distinct(F.transform("d.categories", lambda i: i["id"])), lambda k: F.struct(k.alias("k"), F.element_at(F.filter("d.categories", lambda i: i["id"] == k), -1)["name"].alias("v"))))
-    rows = d.select(images.alias("images"), names.alias("names"), F.explode("d.annotations").alias("a")).select("a", F.try_element_at("images", F.col("a.image_id")).alias("i"), F.try_element_at("names", F.col("a.category_id")).alias("name"))
-    outline, box = F.get("a.segmentation", F.lit(0)), F.col("a.bbox")
-    polygon = F.coalesce(F.size(outline) > 0, F.lit(False))
-    at = lambda k: F.get(box, F.lit(k))
-    return rows.where("i is not null").select(
-        "i.file_name", "i.width", "i.height",
-        F.when(polygon, G.POLYGON).otherwise(G.RECTANGLE).alias("shape"),
-        F.when(polygon, outline).otherwise(F.array(at(0), at(1), at(0) + at(2), at(1) + at(3))).alias("coordinates"),
-        F.coalesce("name", F.lit(UNKNOWN)).alias("label"), F.col("a.id").alias("coco_id"),
-    )
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in _documents(frames):
+            images = {i.get("id"): i for i in d["images"]}
+            names = {c.get("id"): c.get("name") for c in d["categories"]}
+            rows = []
+            for a in d["annotations"]:
+                i = images.get(a.get("image_id"))
+                if i is None:
+                    continue
+                outline = (a.get("segmentation") or [[]])[0]
+                x, y, w, h = [*(a.get("bbox") or []), None, None, None, None][:4]
+                box = [x, y, None if x is None or w is None else x + w, None if y is None or h is None else y + h]
+                coordinates = [None if v is None else float(v) for v in (outline or box)]
+                rows.append((i.get("file_name"), i.get("width"), i.get("height"), G.POLYGON if outline else G.RECTANGLE, coordinates, names.get(a.get("category_id")) or UNKNOWN, a.get("id")))
+                if len(rows) == IMPORT_ROWS:
+                    yield _imported(rows)
+                    rows = []
+            if rows:
+                yield _imported(rows)
+
+    return documents.select("json").mapInPandas(run, IMPORT_DDL)
+
+
+def _imported(rows: list[tuple]) -> pd.DataFrame:
+    f = pd.DataFrame(rows, columns=["file_name", "width", "height", "shape", "coordinates", "label", "coco_id"])
+    return f.astype({"width": "Int32", "height": "Int32", "coco_id": "Int64"})
+
+
+def coco_outlines(documents: DataFrame) -> DataFrame:
+    """file_name, n_annotations and outlines (all polygons of three points and more) of every listed image of COCO texts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in _documents(frames):
+            of: dict = {}
+            for a in d["annotations"]:
+                of.setdefault(a.get("image_id"), []).append(a.get("segmentation") or [])
+            rows = []
+            for i in d["images"]:
+                drawn = [[{"x": float(s[k]), "y": float(s[k + 1])} for k in range(0, len(s) - 1, 2)] for seg in of.get(i.get("id"), []) for s in seg if isinstance(s, list) and len(s) >= 6]
+                rows.append((i.get("file_name"), len(of.get(i.get("id"), [])), drawn))
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_name", "n_annotations", "outlines"])
+
+    return documents.select("json").mapInPandas(run, "file_name string, n_annotations int, outlines array<array<struct<x: double, y: double>>>")
 
 
 def image_json(annotated: DataFrame) -> Column:

@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 #: Bytes indexed at once; a longer document is indexed alone.
 CHUNK_BYTES = 2 << 20
-#: Outer objects or outer strings that may lie around a document.
-MAX_WRAPPERS = 2
 
 OBJECT, ARRAY, STRING, SCALAR, NULL = 1, 2, 3, 4, 5
 
@@ -271,7 +269,8 @@ def _emit(ids: np.ndarray, n: int, kind: str, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
 
 
-def _flatten(texts: list[bytes], ids: np.ndarray, wrappers: int) -> Iterator[pa.RecordBatch]:
+def _flatten(texts: list[bytes], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of the documents; those inside outer objects are looked for level by level, those inside outer strings are flattened in turn, to any depth."""
     x = StructuralIndex(texts)
     doc, root = x.roots()
     image_list = x.value(root, IMAGES)
@@ -281,18 +280,22 @@ def _flatten(texts: list[bytes], ids: np.ndarray, wrappers: int) -> Iterator[pa.
         if isinstance(text, str):
             inner.append((text.encode("utf-8", "surrogatepass"), i))
 
-    if wrappers:
-        lost = np.flatnonzero(image_list < 0)
-        owner, member = x.children(root[lost])
+    # (document, object) pairs of one level of outer objects after the other, until no document is left without its images or no object is
+    at, opener = np.flatnonzero(image_list < 0), root[image_list < 0]
+    while len(at):
+        owner, member = x.children(opener)
         objects = x.m_kind[member] == OBJECT
-        found = x.value(x.m_open[member[objects]], IMAGES)
+        inside = x.m_open[member[objects]]
+        found = x.value(inside, IMAGES)
         hit = found >= 0
-        image_list[lost[owner[objects][hit]]] = found[hit]
+        image_list[at[owner[objects][hit]]] = found[hit]
         for o, m in zip(owner[x.m_kind[member] == STRING], member[x.m_kind[member] == STRING]):
-            if image_list[lost[o]] < 0 and b"mages" in (raw := x.data[x.m_val0[m] : x.m_val1[m]].tobytes()):
-                later(json.loads(raw) if _sound(raw) else None, ids[doc[lost[o]]])
-        for i in np.flatnonzero(x.ok & (x.data[x.head] == 34)):
-            later(x.decode(x.head[i], x.tail[i] + 1), ids[i])
+            if image_list[at[o]] < 0 and b"mages" in (raw := x.data[x.m_val0[m] : x.m_val1[m]].tobytes()):
+                later(json.loads(raw) if _sound(raw) else None, ids[doc[at[o]]])
+        still = image_list[at[owner[objects]]] < 0
+        at, opener = at[owner[objects]][still], inside[still]
+    for i in np.flatnonzero(x.ok & (x.data[x.head] == 34)):
+        later(x.decode(x.head[i], x.tail[i] + 1), ids[i])
 
     owner, image, image_no = x.as_list(np.arange(len(root)), image_list)
     objects = x.m_kind[image] == OBJECT
@@ -328,7 +331,7 @@ def _flatten(texts: list[bytes], ids: np.ndarray, wrappers: int) -> Iterator[pa.
     up, n = up[good], int(good.sum())
     yield _emit(r_id[up], n, "point", image_no=r_image[up], roi_no=roi_no[up], point_no=point_no[good], x=px[good], y=py[good])
     if inner:
-        yield from _flatten([t for t, _ in inner], np.array([i for _, i in inner], np.int64), wrappers - 1)
+        yield from _flatten([t for t, _ in inner], np.array([i for _, i in inner], np.int64))
 
 
 def _sound(raw: bytes) -> bool:
@@ -347,7 +350,7 @@ def _flatten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for k in range(len(ids) + 1):
             if k == len(ids) or size > CHUNK_BYTES:
                 if texts:
-                    yield from _flatten(texts, ids[begin:k], MAX_WRAPPERS)
+                    yield from _flatten(texts, ids[begin:k])
                 texts, begin, size = [], k, 0
             if k < len(ids):
                 texts.append(bodies[k].as_py())

@@ -79,10 +79,10 @@ def stacks(batch: pa.RecordBatch, pixels: str = "pixels") -> Iterator[tuple[np.n
             yield ids[some], flat[offset[some][:, None] + np.arange(size)].reshape(len(some), *shape).astype(float), some
 
 
-def whole(images: DataFrame) -> DataFrame:
-    """Images whose pixels are there and fit their size; others can't be computed on and give no rows."""
+def whole(images: DataFrame, *others: str) -> DataFrame:
+    """Images whose pixels are there and fit their size, with the named arrays; others can't be computed on and give no rows."""
     return images.where((F.col("h") > 0) & (F.col("w") > 0) & (F.size("pixels") == F.col("h") * F.col("w")) & F.col("image_id").isNotNull()).select(
-        F.col("image_id").cast("bigint").alias("image_id"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), F.col("pixels").cast("array<double>").alias("pixels")
+        F.col("image_id").cast("bigint").alias("image_id"), F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), F.col("pixels").cast("array<double>").alias("pixels"), *[F.col(o).cast("array<double>").alias(o) for o in others]
     )
 
 
@@ -205,6 +205,16 @@ def map_tiles(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], til
     return tiles.select("image_id", "row_off", "col_off", "h", "w", "pixels").mapInArrow(run, "image_id bigint, row_off int, col_off int, h int, w int, pixels array<double>")
 
 
+def together(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows of one key in one partition, side by side, in the given order.
+
+    The shuffle goes by a hash of the key, not by the key itself: the planner
+    takes a shuffle by a key for done where the rows seem to lie by it, but an
+    adaptive plan may then read them locally.
+    """
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
+
+
 def fold(rows: DataFrame, key: str, start: Callable[[dict], np.ndarray], add: Callable[[np.ndarray, dict, np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]]:
     """A batch function that folds neighbouring rows of one key into one array, one row after the other.
 
@@ -240,7 +250,9 @@ def untile(tiles: DataFrame) -> DataFrame:
     """
     sized = "image_h" in tiles.columns
     cols = ["image_id", "row_off", "col_off", "h", "w", "pixels", *(["image_h", "image_w"] if sized else [])]
-    t = tiles.where("image_id is not null and pixels is not null").select(cols).repartition("image_id").sortWithinPartitions("image_id", "row_off", "col_off")
+    t = tiles.where("image_id is not null and pixels is not null").select(cols)
+
+    t = together(t, "image_id", "row_off", "col_off")
 
     def add(out: np.ndarray, row: dict, pixels: np.ndarray) -> np.ndarray:
         r, c, h, w = (row[k] for k in ("row_off", "col_off", "h", "w"))

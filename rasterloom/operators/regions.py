@@ -41,25 +41,38 @@ def crop(boxed: DataFrame) -> DataFrame:
     return cols.mapInArrow(run, "image_id bigint, y_min int, x_min int, h int, w int, pixels array<double>")
 
 
-def sliding_patches(images: DataFrame, size: int = 512, stride: int = 256) -> DataFrame:
+def sliding_patches(images: DataFrame, size: int = 512, stride: int = 256, other: str | None = None) -> DataFrame:
     """Zero-padded size x size patches at every stride-th row and column, every start kept: image_id, patch_idx, row_off, col_off, is_padded, h, w, pixels.
 
-    The patches are cut where the image lies; only patches, never copies of the image, leave the task.
+    ``other`` names a second array of the same shape (a mask), whose patches go
+    along. The patches are cut where the image lies; only patches, never copies
+    of the image, leave the task.
     """
+    ok = images.where(F.size("pixels") == F.size(other)) if other else images
+    rows = whole(ok, *([other] if other else []))
+    names = ["image_id", "patch_idx", "row_off", "col_off", "is_padded", "h", "w", "pixels", *([other] if other else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, x, _ in stacks(b):
-                h, w = x.shape[1:]
-                p = np.pad(x, ((0, 0), (0, size), (0, size)))
+            for ids, *stack in ((ids, x, *([o] if o is not None else [])) for ids, x, o in _both(b, other)):
+                h, w = stack[0].shape[1:]
+                padded = [np.pad(x, ((0, 0), (0, size), (0, size))) for x in stack]
                 at = [(r, c) for r in range(0, h, stride) for c in range(0, w, stride)]
                 for i, (r, c) in enumerate(at):
-                    y = p[:, r : r + size, c : c + size]
+                    cut = [_listed(p[:, r : r + size, c : c + size]) for p in padded]
                     same = lambda v, t=pa.int32(), n=len(ids): pa.array([v] * n, t)
-                    cols = [pa.array(ids), same(i), same(r), same(c), same(r + size > h or c + size > w, pa.bool_()), same(size), same(size), _listed(y)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["image_id", "patch_idx", "row_off", "col_off", "is_padded", "h", "w", "pixels"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), same(i), same(r), same(c), same(r + size > h or c + size > w, pa.bool_()), same(size), same(size), *cut], names=names)
 
-    return whole(images).mapInArrow(run, "image_id bigint, patch_idx int, row_off int, col_off int, is_padded boolean, h int, w int, pixels array<double>")
+    ddl = "image_id bigint, patch_idx int, row_off int, col_off int, is_padded boolean, h int, w int, pixels array<double>"
+    return rows.mapInArrow(run, ddl + (f", {other} array<double>" if other else ""))
+
+
+def _both(b: pa.RecordBatch, other: str | None) -> Iterator[tuple]:
+    """(ids, stack, stack of the other array or None)."""
+    if other is None:
+        yield from ((ids, x, None) for ids, x, _ in stacks(b))
+    else:
+        yield from ((ids, x, y) for (ids, x, _), (_, y, _) in zip(stacks(b), stacks(b, other)))
 
 
 def draw_points(points: list[tuple[float, float]], h: int, w: int, whole: bool = True) -> np.ndarray:

@@ -33,6 +33,11 @@ def has_suffix(path: Column, suffix: str) -> Column:
     return F.lower(path).endswith(suffix)
 
 
+def ids_of(files: DataFrame) -> DataFrame:
+    """case_id (leading digits of the name) and path of the files that have one."""
+    return files.where("path is not null").select(numeric_id(base_name(F.col("path"))).alias("case_id"), "path").where("case_id is not null")
+
+
 def pair_by_id(files: DataFrame) -> DataFrame:
     """case_id, dicom_path, xml_path, roi_path, mask_path: every .dcm with an id, left-joined to the others by id.
 
@@ -73,20 +78,22 @@ def pair_case_folders(files: DataFrame) -> DataFrame:
         "folder", F.lower(F.coalesce("series", F.lit(""))).alias("series"), "path",
         F.regexp_extract("folder", CASE_PATTERN, 1).alias("case_id"), F.col("folder").rlike(r"_\d+$").alias("is_roi"),
     ).where("case_id <> ''")
-    film = f.where("not is_roi").groupBy("case_id").agg(F.min("path").alias("dicom_path"))
-    cropped, masks = F.col("series").contains("cropped images"), F.col("series").contains("roi mask images")
-    roi = (
-        f.where("is_roi")
-        .groupBy("case_id", "folder")
-        .agg(F.min(F.when(cropped, F.col("path"))).alias("crop"), F.array_sort(F.collect_list(F.when(masks, F.col("path")))).alias("m"))
-        .withColumn("two", F.col("crop").isNull() & (F.size("m") >= 2))
-        .select("case_id", "folder", F.when(F.col("two"), F.get("m", F.lit(0))).otherwise(F.col("crop")).alias("roi_path"), F.when(F.col("two"), F.get("m", F.lit(1))).otherwise(F.get("m", F.lit(0))).alias("mask_path"))
-    )
-    entries = roi.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("folder", "roi_path", "mask_path"))).alias("e"))
-    return film.join(entries, "case_id", "left").select(
-        "case_id", *[c.alias(n) for n, c in case_parts(F.col("case_id")).items()], "dicom_path",
-        F.coalesce(F.transform("e", lambda x: F.struct(x["roi_path"].alias("roi_path"), x["mask_path"].alias("mask_path"))), F.array().cast("array<struct<roi_path:string,mask_path:string>>")).alias("roi_entries"),
-    )
+    # one aggregate a case: the mammogram's first file, and every ROI file with its folder
+    kind = F.when(F.col("series").contains("cropped images"), "c").when(F.col("series").contains("roi mask images"), "m")
+    case = f.groupBy("case_id").agg(
+        F.min(F.when(~F.col("is_roi"), F.col("path"))).alias("dicom_path"),
+        F.array_sort(F.collect_list(F.when(F.col("is_roi"), F.struct("folder", kind.alias("kind"), "path")))).alias("f"),
+    ).where("dicom_path is not null")
+    of = lambda folder, k: F.transform(F.filter("f", lambda x: (x["folder"] == folder) & (x["kind"] == k)), lambda x: x["path"])
+    first, second = lambda a: F.get(a, F.lit(0)), lambda a: F.get(a, F.lit(1))
+
+    def entry(folder: Column) -> Column:
+        crops, masks = of(folder, "c"), of(folder, "m")
+        two = (F.size(crops) == 0) & (F.size(masks) >= 2)
+        return F.struct(F.when(two, first(masks)).otherwise(first(crops)).alias("roi_path"), F.when(two, second(masks)).otherwise(first(masks)).alias("mask_path"))
+
+    folders = F.array_distinct(F.transform("f", lambda x: x["folder"]))
+    return case.select("case_id", *[c.alias(n) for n, c in case_parts(F.col("case_id")).items()], "dicom_path", F.transform(folders, entry).alias("roi_entries"))
 
 
 def read_case_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -96,6 +96,14 @@ def parse_dicom(data: bytes) -> tuple[dict, int | None, int]:
     return head, None, 0
 
 
+def header_of(data: bytes) -> dict:
+    """Header values of as much of a file as there is; none if it is no DICOM file that is read."""
+    try:
+        return parse_dicom(data)[0]
+    except UnsupportedFile:
+        return {}
+
+
 def decode_dicom(data: bytes) -> tuple[dict, np.ndarray]:
     head, start, size = parse_dicom(data)
     if start is None or not head.get("rows") or not head.get("cols"):
@@ -257,3 +265,93 @@ def encode_tiff(x: np.ndarray) -> bytes:
     for tag, kind, value in entries:
         ifd += struct.pack("<HHI", tag, kind, 1) + (struct.pack("<HH", value, 0) if kind == 3 else struct.pack("<I", value))
     return struct.pack("<2sHI", b"II", 42, at) + body + b"\0" * (len(body) % 2) + ifd + struct.pack("<I", 0)
+
+
+# -- JPEG (baseline, written only) --------------------------------------------------------
+
+# The example tables of the JPEG standard, annex K.
+_QUANT = np.array(
+    [16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99]
+).reshape(8, 8)
+_DC_COUNTS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
+_AC_COUNTS = (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125)
+_AC_VALUES = bytes.fromhex(
+    "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a"
+    "838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+)
+_DC_VALUES = bytes(range(12))
+#: Places of an 8 x 8 block along its anti-diagonals, turning at every border.
+_ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+_COSINES = np.cos((2 * np.arange(8)[None, :] + 1) * np.arange(8)[:, None] * np.pi / 16) * np.where(np.arange(8) == 0, np.sqrt(1 / 8), 0.5)[:, None]
+
+
+def _codes(counts: tuple, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Code and length of every symbol of a Huffman table."""
+    code, size, at, n = np.zeros(256, np.int64), np.zeros(256, np.int64), 0, 0
+    for length, count in enumerate(counts, 1):
+        for v in values[n : n + count]:
+            code[v], size[v] = at, length
+            at += 1
+        n += count
+        at <<= 1
+    return code, size
+
+
+def encode_jpeg(x: np.ndarray, quality: int = 90) -> bytes:
+    """Baseline JPEG of a grey (rows, columns) or colour (rows, columns, 3) image; values are clipped to 0..255.
+
+    All blocks are transformed at once; the symbols of all blocks are placed by
+    one sort and written by one bit expansion.
+    """
+    x = np.clip(np.nan_to_num(np.asarray(x, float)), 0, 255)
+    if x.ndim == 3 and x.shape[2] == 1:
+        x = x[:, :, 0]
+    if x.ndim == 3:
+        r, g, b = (x[:, :, i] for i in range(3))
+        y = 0.299 * r + 0.587 * g + 0.114 * b
+        planes = [y, 128 + (b - y) / 1.772, 128 + (r - y) / 1.402]
+    else:
+        planes = [x]
+    h, w = x.shape[:2]
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    quant = np.clip((_QUANT * scale + 50) // 100, 1, 255)
+    blocks = []
+    for p in planes:
+        p = np.pad(p, ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
+        tiles = p.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).swapaxes(1, 2).reshape(-1, 8, 8)
+        blocks.append(np.rint(_COSINES @ tiles @ _COSINES.T / quant).astype(np.int64).reshape(-1, 64)[:, _ZIGZAG])
+    z = np.stack(blocks, axis=1)  # block, plane, coefficient
+    z[1:, :, 0] = np.diff(z[:, :, 0], axis=0)
+    z = z.reshape(-1, 64)
+    bits = lambda v: np.where(v == 0, 0, np.floor(np.log2(np.maximum(np.abs(v), 1))).astype(np.int64) + 1)
+    tail = lambda v, n: np.where(v < 0, v + (1 << n) - 1, v)
+    dc_code, dc_size = _codes(_DC_COUNTS, _DC_VALUES)
+    ac_code, ac_size = _codes(_AC_COUNTS, _AC_VALUES)
+    n = bits(z[:, 0])
+    parts = [(np.arange(len(z)) * 256, dc_code[n] << n | tail(z[:, 0], n), dc_size[n] + n)]
+    block, k = np.nonzero(z[:, 1:])
+    k += 1
+    v = z[block, k]
+    before = np.where(np.diff(block, prepend=-1) != 0, 0, np.roll(k, 1))
+    run = k - before - 1
+    long = np.repeat(np.arange(len(k)), run // 16)
+    parts.append((block[long] * 256 + k[long] * 2, np.full(len(long), ac_code[0xF0]), np.full(len(long), ac_size[0xF0])))
+    n = bits(v)
+    symbol = (run % 16) << 4 | n
+    parts.append((block * 256 + k * 2 + 1, ac_code[symbol] << n | tail(v, n), ac_size[symbol] + n))
+    end = np.flatnonzero(z[:, 63] == 0)
+    parts.append((end * 256 + 255, np.full(len(end), ac_code[0]), np.full(len(end), ac_size[0])))
+    key, code, size = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    code, size = code[order], size[order]
+    left = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1
+    stream = (np.repeat(code, size) >> left & 1).astype(np.uint8)
+    data = np.packbits(np.concatenate((stream, np.ones(-len(stream) % 8, np.uint8)))).tobytes().replace(b"\xff", b"\xff\0")
+    part = lambda mark, body: struct.pack(">BBH", 255, mark, len(body) + 2) + body
+    ids = range(1, len(planes) + 1)
+    return b"".join([
+        b"\xff\xd8", part(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0"), part(0xDB, b"\0" + quant.ravel()[_ZIGZAG].astype(np.uint8).tobytes()),
+        part(0xC0, struct.pack(">BHHB", 8, h, w, len(planes)) + b"".join(bytes([i, 0x11, 0]) for i in ids)),
+        part(0xC4, b"\0" + bytes(_DC_COUNTS) + _DC_VALUES), part(0xC4, b"\x10" + bytes(_AC_COUNTS) + _AC_VALUES),
+        part(0xDA, bytes([len(planes)]) + b"".join(bytes([i, 0]) for i in ids) + b"\0\x3f\0"), data, b"\xff\xd9",
+    ])

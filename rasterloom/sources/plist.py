@@ -34,15 +34,22 @@ def rois_of(content: bytes) -> list[dict]:
     return out
 
 
-def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = [{"path": p, **r} for p, c in zip(f["path"], f["content"]) for r in rois_of(bytes(c))]
-        if rows:
-            yield pd.DataFrame(rows)[["path", "image_no", "roi_no", "name", "roi_type", "num_points", "points"]]
+def parse_annotations(files: DataFrame) -> DataFrame:
+    """ROIs of property lists (path, content and other columns): the other columns, path, image_no, roi_no, name, roi_type, num_points, points array<struct<x, y>>."""
+    others = [c for c in files.columns if c not in ("path", "content")]
+    extra = "".join(f"`{n}` {t}, " for n, t in files.select(others).dtypes)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [*others, "path", "image_no", "roi_no", "name", "roi_type", "num_points", "points"]
+        for f in frames:
+            rows = [{**{k: r[k] for k in others}, "path": r["path"], **roi} for r in f.to_dict("records") for roi in rois_of(bytes(r["content"]))]
+            if rows:
+                yield pd.DataFrame(rows)[names]
+
+    return files.select(*others, "path", "content").mapInPandas(read, extra + DDL).withColumn("points", F.filter(F.transform("points", parse_point), lambda p: p.isNotNull()))
 
 
 def read_annotations(spark: SparkSession, root: str) -> DataFrame:
     """path, image_no, roi_no, name, roi_type, num_points, points array<struct<x, y>> of all .xml files under ``root``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][mM][lL]").load(root)
-    raw = files.select("path", "content").mapInPandas(_read, DDL)
-    return raw.withColumn("points", F.filter(F.transform("points", parse_point), lambda p: p.isNotNull()))
+    return parse_annotations(files.select("path", "content"))

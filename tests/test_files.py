@@ -173,3 +173,60 @@ def test_inbox_stream(spark, folder, tmp_path_factory):
         inbox.run_inbox(spark, str(folder), lambda df: map_images(df, K.otsu), str(out), str(ck)).awaitTermination(120)
     got = spark.read.parquet(str(out))
     assert got.count() == 4 and got.select("image_id").distinct().count() == 4  # no file of the first run twice; sub/ is not listed
+
+
+def test_k3_jpeg_is_read_by_another_decoder(spark, tmp_path):
+    """The JVM's decoder gives the pixels back, but for the loss."""
+    y, x = np.mgrid[:61, :83]
+    grey = np.sin(x / 9) * 60 + np.cos(y / 7) * 50 + 128
+    noise = np.random.default_rng(1).integers(0, 256, (16, 24))
+    for n, image in enumerate((grey, np.stack([grey, grey[::-1], 255 - grey], 2), noise, np.zeros((1, 1)))):
+        path = tmp_path / f"{n}.jpg"
+        path.write_bytes(codecs.encode_jpeg(image))
+        got = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.File(str(path)))
+        h, w = image.shape[:2]
+        assert (got.getHeight(), got.getWidth()) == (h, w)
+        raster = got.getRaster()
+        bands = raster.getNumBands()
+        values = np.array(list(raster.getPixels(0, 0, w, h, spark.sparkContext._gateway.new_array(spark._jvm.int, w * h * bands)))).reshape(h, w, bands)
+        want = image if image.ndim == 3 else image[:, :, None]
+        assert np.abs(values - want).mean() < (25 if n == 2 else 3)
+
+
+def test_only_wanted_files_are_decoded(spark, folder, monkeypatch):
+    wanted = files.read_images(spark, str(folder), "a.dcm").select(F.col("file_path").alias("path"))
+    got = files.read_images(spark, str(folder), only=wanted)
+    assert [r.file_path.rsplit("/", 1)[-1] for r in got.collect()] == ["a.dcm"]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_colour_masks_count(spark, tmp_path):
+    x = np.zeros((2, 3, 3))
+    x[1, 2, 1] = 9
+    (tmp_path / "m.png").write_bytes(codecs.encode_png(x))
+    assert files.read_masks(spark, str(tmp_path)).first().pixels == [0, 0, 0, 0, 0, 1]
+
+
+def test_s17_ftp_folder(tmp_path, monkeypatch):
+    import ftplib
+
+    class Server:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        connect = login = cwd = lambda self, *a: None
+
+        def nlst(self):
+            return ["b.dcm", "sub", "a.dcm"]
+
+        def retrbinary(self, command, write):
+            if command.endswith("sub"):
+                raise ftplib.error_perm("550 not a file")
+            write(command.encode())
+
+    monkeypatch.setattr(ftplib, "FTP", Server)
+    got = files.download("ftp://host:2121/some/folder/", str(tmp_path))
+    assert [p.rsplit("/", 1)[-1] for p in got] == ["a.dcm", "b.dcm"] and (tmp_path / "a.dcm").read_bytes() == b"RETR a.dcm" and len(list(tmp_path.iterdir())) == 2

@@ -35,14 +35,16 @@ def get(o, names):
 def brute(body):
     try:
         o = json.loads(body)
-        for _ in range(2):
-            o = json.loads(o) if isinstance(o, str) else o
+        while isinstance(o, str):
+            o = json.loads(o)
     except ValueError:
         return []
     if not isinstance(o, dict):
         return []
-    if not set(o) & set(N.IMAGES):
-        o = next((v for v in o.values() if isinstance(v, dict) and set(v) & set(N.IMAGES)), {})
+    level = [o]
+    while level and not any(set(v) & set(N.IMAGES) for v in level):
+        level = [v for x in level for v in x.values() if isinstance(v, dict)]
+    o = next((v for v in level if set(v) & set(N.IMAGES)), {})
     out = []
     for i, im in enumerate(listed(get(o, N.IMAGES))):
         if not isinstance(im, dict):
@@ -67,7 +69,7 @@ def brute(body):
 
 
 def flat(bodies):
-    got = pa.Table.from_batches(N._flatten([b.encode("utf-8", "surrogatepass") for b in bodies], np.arange(len(bodies)), N.MAX_WRAPPERS), schema=N.SCHEMA).to_pylist()
+    got = pa.Table.from_batches(N._flatten([b.encode("utf-8", "surrogatepass") for b in bodies], np.arange(len(bodies))), schema=N.SCHEMA).to_pylist()
     per = [[] for _ in bodies]
     for r in got:
         per[r["record_id"]].append((r["kind"], r["image_no"], r["roi_no"], r["point_no"], r["roi_type"]))
@@ -123,3 +125,15 @@ def test_tables(spark):
     s = spark.createDataFrame([(9, [("a", None), None, ("", " "), (None, "m")]), (8, None), (7, []), (None, [("a", "b")])], "sample_id bigint, roi_entries array<struct<roi_path:string,mask_path:string>>")
     assert rows(N.flatten_roi_entries(s), "record_id", "roi_no") == [(9, 0), (9, 3)]
     assert N.flat_children(x.limit(0), s.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 7])
+def test_wrappers_of_any_depth(depth):
+    doc = {"Images": [{"ROIs": [{"Type": 3, "Point_px": ["(1, 2)"]}]}]}
+    objects, strings, mixed = dict(doc), json.dumps(doc), dict(doc)
+    for k in range(depth):
+        objects, strings = {"n": k, "in": objects}, json.dumps(strings)
+        mixed = {"n": k, "in": json.dumps(mixed) if k % 2 else mixed}
+    want = [("image", 0, -1, -1, -1), ("point", 0, 0, 0, -1), ("roi", 0, 0, -1, 3)]
+    assert flat([json.dumps(objects), strings, json.dumps(mixed)]) == [want] * 3
+    assert flat([json.dumps({"a": {"b": {"c": 1}}})]) == [[]]

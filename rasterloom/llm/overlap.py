@@ -163,6 +163,7 @@ def near_thumbs(films: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def cross_split_pairs(films: DataFrame) -> DataFrame:
     """All overlapping (test_id, train_id) row pairs, each once. Empty for an empty table."""
+    films = cut(films)  # the spellings are read once
     pairs, members = near_thumbs(films)
     members = members.where("thumb_no is not null")
     near = (
@@ -186,6 +187,7 @@ def overlap_report(films: DataFrame) -> DataFrame:
     Null sources are one source;
     exact repetitions of a row count once. Empty for an empty table.
     """
+    films = cut(films)
     pairs, members = near_thumbs(films)
     pairs = cut(pairs.select("test_no", "train_no"))
     # rows of one class, film, source and split are alike, so the rest of the work is on their counts

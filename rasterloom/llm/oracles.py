@@ -12,8 +12,8 @@ _P1 = f"""WITH RECURSIVE r AS (SELECT patch_id, patient_id, build_id, patch_idx,
  both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
  walk(a, m) AS (SELECT DISTINCT a, a FROM both_ UNION SELECT t.b, w.m FROM walk w JOIN both_ t ON t.a = w.a WHERE w.m < t.b),
  comp AS (SELECT a, min(m) AS m FROM walk GROUP BY a),
- num AS (SELECT r.patch_id, r.patient_id, coalesce(r.p, r.q, l.low) AS n FROM r LEFT JOIN low l ON l.build_id = r.build_id AND l.patch_idx = r.patch_idx),
- g AS (SELECT patch_id, patient_id, coalesce(c.m, n) AS group_no FROM num LEFT JOIN comp c ON c.a = num.n)"""
+ num AS (SELECT r.patch_id, r.patient_id, r.build_id, r.patch_idx, coalesce(r.p, r.q, l.low) AS n FROM r LEFT JOIN low l ON l.build_id = r.build_id AND l.patch_idx = r.patch_idx),
+ g AS (SELECT patch_id, patient_id, build_id, patch_idx, coalesce(c.m, n) AS group_no FROM num LEFT JOIN comp c ON c.a = num.n)"""
 
 _FILM = r"""film AS (SELECT sample_id, release_no, thumb, source,
   regexp_replace(upper(coalesce(task, '')), '[^A-Z]', '', 'g') AS t0, regexp_replace(upper(coalesce(side, '')), '[^A-Z]', '', 'g') AS s0,
@@ -61,6 +61,7 @@ _P7 = r"""WITH w AS (SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(te
 ORACLES: dict[str, str] = {
     "p4_ledger": _P4_LEDGER,
     "p1_found": _P1 + " SELECT patch_id, group_no FROM g WHERE group_no IS NOT NULL AND patient_id IS DISTINCT FROM 'P_' || CASE WHEN length(CAST(group_no AS VARCHAR)) >= 5 THEN CAST(group_no AS VARCHAR) ELSE lpad(CAST(group_no AS VARCHAR), 5, '0') END",
+    "p1_groups": _P1 + """ SELECT CASE WHEN group_no IS NOT NULL THEN 'P' || group_no WHEN build_id IS NOT NULL AND patch_idx IS NOT NULL THEN 'B:' || build_id || ':' || patch_idx ELSE 'R' || patch_id END AS group_key, count(*) AS n_records, 1 AS n_splits FROM g GROUP BY 1""",
     "p2_found": _P2 + " SELECT draw_id, cell_id FROM need JOIN have USING (cell_id) WHERE have.n < need.n",
     "p2_available": _P2 + " SELECT draw_id, cell_id, coalesce(have.n, 0) AS available, need.n AS need, coalesce(have.n, 0) >= need.n AS enough FROM need LEFT JOIN have USING (cell_id)",
     "p2_drawn": _P2 + """, per AS (SELECT draw_id, max(draw_size) AS size, sum(least(min_rows, have.n)) AS low, sum(have.n) AS live FROM need JOIN have USING (cell_id) WHERE roi_name IS NULL GROUP BY draw_id)

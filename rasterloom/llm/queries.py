@@ -22,11 +22,15 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return _p1_assigned(spark, d)
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every group of tied records with its size and the number of splits it is in."""
+    return _p1_assigned(spark, d).groupBy("group_key").agg(F.count("*").alias("n_records"), F.countDistinct("split_name").alias("n_splits"))
+
+
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(_p1_assigned(spark, d), table(spark, d, "split_plan"))
 
 
-
 def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return draw.cube_draw(table(spark, d, "cbis_samples"), table(spark, d, "inbreast_rois"), table(spark, d, "draw_targets"))
 
@@ -116,7 +120,7 @@ def p8_boilerplate(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_splits, p1_report,
+    p1_found, p1_splits, p1_groups, p1_report,
     p2_found, p2_report, p2_available, p2_drawn, p2_sample,
     p4_sample, p4_growth, p4_ledger,
     p5_found, p5_report,

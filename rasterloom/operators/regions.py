@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.operators import kernels as K
 from rasterloom.operators.raster import _listed, stacks, whole
 
 #: Radius of the disk that a lone point becomes.
@@ -155,6 +156,24 @@ def rasterise(outlines: DataFrame, sizes: DataFrame, key: str = "case_id") -> Da
     return sizes.where("h > 0 and w > 0").select(key, "h", "w").join(merged, key, "left").mapInArrow(run, f"`{key}` {kind}, h int, w int, pixels array<double>")
 
 
+def located(pairs: DataFrame) -> DataFrame:
+    """image_id and box x0, y0, x1, y1 of crops in their images: rows (image_id, h, w, pixels, ch, cw, crop), each found where its edges correlate best.
+
+    Crops larger than their image give nothing.
+    """
+    ok = pairs.where((F.size("pixels") == F.col("h") * F.col("w")) & (F.size("crop") == F.col("ch") * F.col("cw")) & (F.col("ch") <= F.col("h")) & (F.col("cw") <= F.col("w")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, w, ch, cw = (b.column(k).to_pylist() for k in ("h", "w", "ch", "cw"))
+            values = lambda k, i: b.column(k)[i].values.to_numpy(zero_copy_only=False)
+            boxes = [K.locate(values("pixels", i).reshape(h[i], w[i]), values("crop", i).reshape(ch[i], cw[i])) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), *[pa.array([x[k] for x in boxes], pa.int32()) for k in range(4)]], names=["image_id", "x0", "y0", "x1", "y1"])
+
+    cols = [F.col("image_id").cast("bigint").alias("image_id"), *[F.col(k).cast("int").alias(k) for k in ("h", "w", "ch", "cw")], *[F.col(k).cast("array<double>").alias(k) for k in ("pixels", "crop")]]
+    return ok.select(cols).mapInArrow(run, "image_id bigint, x0 int, y0 int, x1 int, y1 int")
+
+
 def box_area(box: Column) -> Column:
     at = lambda i: F.get(box, F.lit(i))
     return (at(2) - at(0)) * (at(3) - at(1))

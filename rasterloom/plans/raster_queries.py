@@ -738,3 +738,20 @@ _E4 = stencil("px", 4, "zero", "min({n})")
 query("top_hat_r4", f"WITH {PX}, e AS ({_E4}), o AS ({stencil('e', 4, 'zero', 'max({n})')}) SELECT image_id, r, c, greatest(px.v - o.v, 0) AS v FROM px JOIN o USING (image_id, r, c)")(lambda spark, d: _px(L.TopHat(4)(images(spark, d))))
 _TILED = f"""WITH RECURSIVE {PX}, tile AS (SELECT image_id * 4 + r // 4 * 2 + c // 4 AS tile_id, image_id, r, c, v FROM px), zs AS (SELECT tile_id, list(v ORDER BY r, c) AS z FROM tile GROUP BY tile_id), {kmeans_run('zs', 'tile_id', '42 * 1000003')}"""
 query("patch_kmeans", _TILED + f" SELECT image_id, r, c, CASE WHEN list_stddev_pop(z) < 1e-6 THEN v ELSE {_BRIGHT} END AS v FROM tile JOIN km USING (tile_id)")(lambda spark, d: _px(L.per_patch_kmeans(images(spark, d), 4)))
+query("kmeans_quantized", f"WITH RECURSIVE {PX}, {_Z}, {kmeans_run('zs', 'image_id', '42 * 1000003')} SELECT image_id, r, c, round(CASE WHEN list_contains(za, v) THEN a ELSE b END / greatest(a, b), 4) AS v FROM px JOIN km USING (image_id)")(
+    lambda spark, d: _px(L.KMeans(output="quantized")(images(spark, d)))
+)
+query("fuzzy_labels", f"WITH RECURSIVE {PX}, {_Z}, {fcm_run(False)} SELECT image_id, r, c, CASE WHEN u[r * 8 + c + 1] >= w[r * 8 + c + 1] THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS v FROM px JOIN fc USING (image_id)")(
+    lambda spark, d: _px(L.Fcm(seed=None, output="labels")(images(spark, d)))
+)
+
+
+@query("locate_crop", "SELECT g AS image_id, CAST(g * 3 % 20 AS INTEGER) AS x0, CAST(g * 5 % 20 AS INTEGER) AS y0, CAST(g * 3 % 20 + 12 AS INTEGER) AS x1, CAST(g * 5 % 20 + 12 AS INTEGER) AS y1 FROM (SELECT DISTINCT vec_id // 16 AS g FROM embeddings WHERE len(embedding) = 64) WHERE g IN (SELECT vec_id // 16 FROM embeddings WHERE len(embedding) = 64 GROUP BY 1 HAVING count(*) = 16)")
+def locate_crop(spark, d):
+    """A 12 x 12 crop of every whole 32 x 32 mosaic is found in it again."""
+    i = images(spark, d)
+    whole = i.groupBy(F.floor(F.col("image_id") / 16).cast("bigint").alias("image_id")).count().where("count = 16").select("image_id")
+    m = mosaic(i, 4).join(whole, "image_id")
+    x, y = (F.pmod(F.col("image_id") * k, F.lit(20)).cast("int") for k in (3, 5))
+    part = R.crop(m.withColumn("x_min", x).withColumn("y_min", y).withColumn("x_max", x + 12).withColumn("y_max", y + 12)).select("image_id", F.col("h").alias("ch"), F.col("w").alias("cw"), F.col("pixels").alias("crop"))
+    return R.located(m.join(part, "image_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,10 +84,10 @@ def coco_document(images: DataFrame, categories: DataFrame, annotations: DataFra
     return one.select(F.concat(lit('{"info":'), info, lit(',"licenses":[],"categories":['), "categories", lit('],"images":['), "images", lit('],"annotations":['), "annotations", lit("]}")).alias("json"))
 
 
-def _documents(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
-    """Readable documents (objects) of the column json."""
-    for f in frames:
-        for text in f["json"]:
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Readable documents (objects) of the first column."""
+    for b in batches:
+        for text in b.column(0).to_pylist():
             try:
                 d = json.loads(text) if text else None
             except ValueError:
@@ -96,8 +96,10 @@ def _documents(frames: Iterator[pd.DataFrame]) -> Iterator[dict]:
                 yield {k: [x for x in d.get(k) or [] if isinstance(x, dict)] for k in ("images", "categories", "annotations")}
 
 
-#: Annotations of one batch of an imported document.
+#: Annotations of one batch of imported documents.
 IMPORT_ROWS = 10_000
+_IMPORT = pa.schema([("file_name", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("shape", pa.string()), ("coordinates", pa.list_(pa.float64())), ("label", pa.string()), ("coco_id", pa.int64())])
+_OUTLINED = pa.schema([("file_name", pa.string()), ("n_annotations", pa.int32()), ("outlines", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))])
 IMPORT_DDL = "file_name string, width int, height int, shape string, coordinates array<double>, label string, coco_id bigint"
 
 
@@ -110,11 +112,11 @@ def coco_import(documents: DataFrame) -> DataFrame:
     nothing. Ids are looked up in tables, so the work is linear in the document.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in _documents(frames):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for d in _documents(batches):
             images = {i.get("id"): i for i in d["images"]}
             names = {c.get("id"): c.get("name") for c in d["categories"]}
-            rows = []
             for a in d["annotations"]:
                 i = images.get(a.get("image_id"))
                 if i is None:
@@ -125,35 +127,37 @@ def coco_import(documents: DataFrame) -> DataFrame:
                 coordinates = [None if v is None else float(v) for v in (outline or box)]
                 rows.append((i.get("file_name"), i.get("width"), i.get("height"), G.POLYGON if outline else G.RECTANGLE, coordinates, names.get(a.get("category_id")) or UNKNOWN, a.get("id")))
                 if len(rows) == IMPORT_ROWS:
-                    yield _imported(rows)
+                    yield _batch(rows, _IMPORT)
                     rows = []
-            if rows:
-                yield _imported(rows)
+        if rows:
+            yield _batch(rows, _IMPORT)
 
-    return documents.select("json").mapInPandas(run, IMPORT_DDL)
+    return documents.select(F.col("json").cast("string")).mapInArrow(run, IMPORT_DDL)
 
 
-def _imported(rows: list[tuple]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=["file_name", "width", "height", "shape", "coordinates", "label", "coco_id"])
-    return f.astype({"width": "Int32", "height": "Int32", "coco_id": "Int64"})
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def coco_outlines(documents: DataFrame) -> DataFrame:
     """file_name, n_annotations and outlines (all polygons of three points and more) of every listed image of COCO texts."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in _documents(frames):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for d in _documents(batches):
             of: dict = {}
             for a in d["annotations"]:
                 of.setdefault(a.get("image_id"), []).append(a.get("segmentation") or [])
-            rows = []
             for i in d["images"]:
                 drawn = [[{"x": float(s[k]), "y": float(s[k + 1])} for k in range(0, len(s) - 1, 2)] for seg in of.get(i.get("id"), []) for s in seg if isinstance(s, list) and len(s) >= 6]
                 rows.append((i.get("file_name"), len(of.get(i.get("id"), [])), drawn))
-            if rows:
-                yield pd.DataFrame(rows, columns=["file_name", "n_annotations", "outlines"])
+                if len(rows) == IMPORT_ROWS:
+                    yield _batch(rows, _OUTLINED)
+                    rows = []
+        if rows:
+            yield _batch(rows, _OUTLINED)
 
-    return documents.select("json").mapInPandas(run, "file_name string, n_annotations int, outlines array<array<struct<x: double, y: double>>>")
+    return documents.select(F.col("json").cast("string")).mapInArrow(run, "file_name string, n_annotations int, outlines array<array<struct<x: double, y: double>>>")
 
 
 def image_json(annotated: DataFrame) -> Column:

@@ -76,7 +76,7 @@ def pair_case_folders(files: DataFrame) -> DataFrame:
     f = files.where("folder is not null and path is not null").where(has_suffix(F.col("path"), ".dcm"))
     f = f.select(
         "folder", F.lower(F.coalesce("series", F.lit(""))).alias("series"), "path",
-        F.regexp_extract("folder", CASE_PATTERN, 1).alias("case_id"), F.col("folder").rlike(r"_\d+$").alias("is_roi"),
+        F.regexp_extract("folder", CASE_PATTERN, 1).alias("case_id"), F.substring("folder", -1, 1).between("0", "9").alias("is_roi"),  # a case ends in letters
     ).where("case_id <> ''")
     # one aggregate a case: the mammogram's first file, and every ROI file with its folder
     kind = F.when(F.col("series").contains("cropped images"), "c").when(F.col("series").contains("roi mask images"), "m")

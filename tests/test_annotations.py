@@ -97,3 +97,26 @@ def test_numbering_follows_the_order(spark):
     df = spark.createDataFrame([(f"n{i:03d}",) for i in range(50)][::-1], "name string").repartition(7)
     got = C.numbered(df, ["name"], "id").orderBy("id").collect()
     assert [r.name for r in got] == [f"n{i:03d}" for i in range(50)] and [r.id for r in got] == list(range(1, 51))
+
+
+def test_a_large_document_is_imported_in_linear_time(spark):
+    """100,000 images in one document: every id is looked up once."""
+    import json
+    import time
+
+    from rasterloom.functions import coco
+
+    def document(n):
+        return json.dumps({
+            "images": [{"id": i, "file_name": f"{i}.dcm", "width": 4, "height": 4} for i in range(n)], "categories": [{"id": 1, "name": "Mass"}],
+            "annotations": [{"id": i, "image_id": n - 1 - i, "category_id": 1 + i % 2, "bbox": [0, 0, 1, 1]} for i in range(n)],
+        })
+
+    took = {}
+    for n in (1_000, 100_000):
+        df = spark.createDataFrame([(document(n),)], "json string")
+        start = time.time()
+        got = coco.coco_import(df).selectExpr("count(*) n", "count(distinct file_name) f", "count_if(label = 'unknown') u").first()
+        took[n] = time.time() - start
+        assert tuple(got) == (n, n, n // 2)
+    assert took[100_000] < 60

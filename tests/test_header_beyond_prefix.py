@@ -13,5 +13,5 @@ def test_large_element_before_the_size(tmp_path):
     size = 3 * files.HEADER_BYTES
     path = tmp_path / "a.dcm"
     path.write_bytes(whole[:at] + b"\x09\x00\x10\x10OB\x00\x00" + struct.pack("<I", size) + bytes(size) + whole[at:])
-    row = next(files._Reader({"path": str(path)}, header=True).read(files._File(str(path))))
+    row = tuple(next(files._Reader({"path": str(path)}, header=True).read(files._Files([str(path)]))).to_pylist()[0].values())
     assert row[1:3] == (3, 4)
